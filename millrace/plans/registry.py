@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("star", "quality")
+MODULES = ("star", "quality", "windows", "scalars")
 
 
 @cache
