@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ from millrace.plans.define import Collector
 query = Collector()
 QUERIES, SQL = query.queries, query.sql
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def _revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def _sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,7 +35,7 @@ SALES = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_cust
 SELECT region, round(revenue, 2) AS revenue, round(revenue / max(CASE WHEN g = 1 THEN revenue END) OVER (), 6) AS share FROM s""")
 def revenue_by_region_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Revenue and share by region of the customer, with a grand total."""
-    by = _sales(spark, sf).rollup("r_name").agg(F.sum(REVENUE).alias("revenue"), F.grouping("r_name").alias("g"))
+    by = _sales(spark, sf).rollup("r_name").agg(F.sum(_revenue()).alias("revenue"), F.grouping("r_name").alias("g"))
     total = F.max(F.when(F.col("g") == 1, F.col("revenue"))).over(W.partitionBy())  # a row a region
     return by.select(
         F.when(F.col("g") == 1, F.lit("all")).otherwise(F.col("r_name")).alias("region"), F.round("revenue", 2).alias("revenue"), F.round(F.col("revenue") / total, 6).alias("share")
@@ -46,7 +47,7 @@ round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, cou
 def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     shipped = table(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return shipped.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(REVENUE), 2).alias("sum_disc"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(_revenue()), 2).alias("sum_disc"),
         F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
     )
 
@@ -146,7 +147,7 @@ def sketch_and_list_aggregates(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT n_name, strftime(o_orderdate, '%Y') AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {SALES} WHERE r_name = 'ASIA' GROUP BY ALL""")
 def star_join_revenue(spark: SparkSession, sf: str) -> DataFrame:
     asia = _sales(spark, sf).where(F.col("r_name") == "ASIA")
-    return asia.groupBy("n_name", F.date_format("o_orderdate", "yyyy").alias("y")).agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    return asia.groupBy("n_name", F.date_format("o_orderdate", "yyyy").alias("y")).agg(F.round(F.sum(_revenue()), 2).alias("revenue"))
 
 
 @query("""SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -6,7 +6,7 @@ does not grow with the rows (months, hours, types).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,12 +17,15 @@ from millrace.plans.define import Collector
 query = Collector()
 QUERIES, SQL = query.queries, query.sql
 
-MONTH = F.date_format("o_orderdate", "yyyy-MM")
+def _month() -> Column:
+    return F.date_format("o_orderdate", "yyyy-MM")
+
+
 MONTHLY_SQL = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY ALL)"
 
 
 def _monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy(MONTH.alias("month")).agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n"))
+    return table(spark, sf, "orders").groupBy(_month().alias("month")).agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n"))
 
 
 def _in_order() -> W:
@@ -210,7 +213,7 @@ def window_before_first_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY ALL""")
 def pivot_status_by_month(spark: SparkSession, sf: str) -> DataFrame:
-    wide = table(spark, sf, "orders").groupBy(MONTH.alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).count()
+    wide = table(spark, sf, "orders").groupBy(_month().alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).count()
     return wide.select("month", *(F.coalesce(c.upper(), F.lit(0)).alias(c) for c in "fop"))
 
 
