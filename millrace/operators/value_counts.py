@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.session import materialised
+from millrace.session import broadcast_if_small, materialised
 
 # Texts that stand for "no value", in lower case without outer blanks.
 NO_VALUE = ("", "-", "--", "?", "??", ".", "\\n", "n/a", "#n/a", "nan", "none", "null", "nil", "(null)", "<null>", "<na>", "missing", "unknown", "undefined", "not available")
@@ -155,7 +155,8 @@ def medians(counts: DataFrame, groups: Sequence[str], rules: Rules) -> DataFrame
     for name, rank in (("lower", F.floor((F.col("all") + 1) / 2)), ("upper", F.floor(F.col("all") / 2) + 1)):
         ranked = ranked.withColumn(name, F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), rank - (F.col("upto") - F.col("n"))))
     wanted = ranked.where("lower is not null or upper is not null").select(*keys, "bucket", "lower", "upper")
-    inside = numbers.join(wanted, [*keys, "bucket"])
+    # a row or two a column and load: sent to the counts if they are few, else joined by key
+    inside = numbers.join(broadcast_if_small(wanted, "median-buckets"), [*keys, "bucket"])
     within = W.partitionBy(*keys, "bucket").orderBy("num").rowsBetween(W.unboundedPreceding, W.currentRow)
     at = inside.withColumn("upto", F.sum("n").over(within))
     hit = lambda r: F.max(F.when((F.col("upto") >= F.col(r)) & (F.col("upto") - F.col("n") < F.col(r)), F.col("num")))

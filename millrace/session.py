@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that hold at every size; sizes of partitions are left to AQE.
 DEFAULTS = {
@@ -64,3 +65,16 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes up to which a table is sent to all executors, and what a row of a few fields takes at most.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 160
+
+
+def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and marked for broadcast if its counted rows are few; else for a shuffled join.
+
+    For narrow tables of numbers and short names.
+    """
+    kept = materialised(df, name)
+    return F.broadcast(kept) if kept.count() * ROW_BYTES <= BROADCAST_BYTES else kept
