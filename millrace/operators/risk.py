@@ -66,9 +66,10 @@ def psi(base: DataFrame, other: DataFrame, score: str, bins: int, by: Sequence[s
 
 def ks_auc(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, ks, auc)`` of a score against a 0/1 label; equal scores count as one step."""
-    step = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1 - F.col(label).cast("double")).alias("q"))
+    slim = rows.select(*by, F.col(score).alias("__score"), F.col(label).alias("__label")).where("__score is not null")
+    step = slim.groupBy(*by, "__score").agg(F.sum(F.col("__label").cast("double")).alias("p"), F.sum(1 - F.col("__label").cast("double")).alias("q"))
     total = step.groupBy(*by).agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    ranked = running(step, score, ["p", "q"], by)
+    ranked = running(step, "__score", ["p", "q"], by)
     joined = ranked.join(total, list(by)) if by else ranked.crossJoin(F.broadcast(total))  # one row
     gap = F.abs(F.try_divide(F.col("before_p") + F.col("p"), F.col("tp")) - F.try_divide(F.col("before_q") + F.col("q"), F.col("tq")))
     area = F.try_divide(F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2)), F.max("tp") * F.max("tq"))

@@ -66,7 +66,7 @@ def schema_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return P.key_consistency(table(spark, sf, "events"), "props")
 
 
-@query("""SELECT 2 AS tables, CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT) AS rows, 9 AS columns, 0 AS shared_columns, false AS any_missing""")
+@query("""SELECT CAST(2 AS BIGINT) AS tables, CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT) AS rows, CAST(9 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS shared_columns, false AS any_missing""")
 def domain_exploration(spark: SparkSession, sf: str) -> DataFrame:
     return P.explore(_profiles(spark, sf))
 
