@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Core-sets that meet in the last task: it gets at most this many times the size asked for.
 CORE_SETS = 32
 
+#: Candidates compared at once with a core-set: bounds the matrix of distances of a task.
+STREAM_ROWS = 2000
+
 #: Weight of a skill without a positive one, as a share of the smallest positive weight.
 FLOOR = 0.5
 
@@ -106,9 +109,11 @@ def varied_subset(
     def core(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
         for batch in batches:
-            kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if len(kept) > size:
-                kept = kept.iloc[farthest([tuple(x) for x in kept["set"]], weights, size)]
+            for at in range(0, len(batch), STREAM_ROWS):
+                part = batch.iloc[at : at + STREAM_ROWS]
+                kept = part if kept is None else pd.concat([kept, part], ignore_index=True)
+                if len(kept) > size:
+                    kept = kept.iloc[farthest([tuple(x) for x in kept["set"]], weights, size)]
         if kept is not None and len(kept):
             yield kept
 

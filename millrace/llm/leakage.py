@@ -224,8 +224,8 @@ def find_leaks(
     items = items.where("item is not null and content is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-size // ITEM_BLOCK_BYTES))
-    slim = documents.select(doc_key, doc_text)
-    kind = slim.schema[doc_key].dataType.simpleString()
+    # the key passes through Python as text: pandas would turn whole numbers beside nulls into floats
+    slim = documents.select(F.col(doc_key).cast("string").alias(doc_key), doc_text)
     result = None
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).orderBy("item", "content").collect()
@@ -239,6 +239,6 @@ def find_leaks(
                 kept = [(*k, *v) for k, v in found.items() if v[0] or v[1] >= similarity]
                 yield pd.DataFrame(kept, columns=[doc_key, item_key, "passages", "similarity"])
 
-        part = slim.mapInPandas(run, f"`{doc_key}` {kind}, `{item_key}` bigint, passages bigint, similarity double")
+        part = slim.mapInPandas(run, f"`{doc_key}` string, `{item_key}` bigint, passages bigint, similarity double")
         result = part if result is None else result.unionByName(part)
-    return result
+    return result.withColumn(doc_key, F.col(doc_key).cast(documents.schema[doc_key].dataType))
