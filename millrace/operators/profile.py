@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.scalars import digits_as_hole
+from millrace.operators.ordered import quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -52,7 +53,8 @@ def name_patterns(columns: DataFrame, column: str, least: int = 5) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """``(column, q1, q3, outliers)``: values beyond the quartiles by a multiple of their distance, two passes."""
-    quart = df.agg(*(F.percentile(c, F.lit(p)).alias(f"{c}__{q}") for c in columns for q, p in (("q1", 0.25), ("q3", 0.75))))
+    parts = [quantiles(df, c, [0.25, 0.75]).select(F.col("quantiles")[0].alias(f"{c}__q1"), F.col("quantiles")[1].alias(f"{c}__q3")) for c in columns]
+    quart = reduce(DataFrame.crossJoin, parts)  # one row each
     joined = df.select(*columns).crossJoin(F.broadcast(quart))  # one row
     low = lambda c: F.col(f"{c}__q1") - factor * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))
     high = lambda c: F.col(f"{c}__q3") + factor * (F.col(f"{c}__q3") - F.col(f"{c}__q1"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import running
+from millrace.operators.ordered import quantiles, running
 
 #: Added to empty cells of a ratio, so that no logarithm is infinite.
 EPSILON = 1e-6
@@ -16,8 +16,8 @@ EPSILON = 1e-6
 
 def quantile_edges(rows: DataFrame, score: str, bins: int) -> DataFrame:
     """One row ``(edges)``: the inner edges of bins of equal counts, exact, without repetitions."""
-    cuts = [F.percentile(F.col(score), F.lit(k / bins)) for k in range(1, bins)]
-    return rows.agg(F.array_sort(F.array_distinct(F.array(*cuts))).alias("edges"))
+    cuts = quantiles(rows, score, [k / bins for k in range(1, bins)])
+    return cuts.select(F.array_sort(F.array_distinct(F.filter("quantiles", lambda x: x.isNotNull()))).alias("edges"))
 
 
 def bin_of(score: Column, edges: Column) -> Column:

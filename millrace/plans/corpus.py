@@ -111,13 +111,16 @@ def code_blocks_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(blocks).alias("blocks"), F.sum(frames).alias("frame_lines"))
 
 
-@query("""SELECT e.example_id, count(DISTINCT p.series) AS mentioned FROM (SELECT DISTINCT example_id, lower(question) AS q FROM examples WHERE question IS NOT NULL) e JOIN (SELECT DISTINCT series, lower(series) AS s FROM file_profiles WHERE series IS NOT NULL) p ON contains(e.q, p.s) GROUP BY ALL""")
+_FILES = "[a-z]+_[a-z]+[.]csv"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_FILES}')) AS name FROM test_items WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_FILES}')) AS name FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, count(*) AS mentioned FROM d JOIN n USING (name) GROUP BY ALL""")
 def file_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions that name a series: the names become one set of needles, found by tokens instead of a theta join."""
-    names = table(spark, sf, "file_profiles").where("series is not null").select(F.lower("series").alias("name")).distinct()
-    asked = table(spark, sf, "examples").where("question is not null").select("example_id", F.lower("question").alias("q")).distinct()
-    tokens = asked.select("example_id", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit("[a-z]+-[0-9]+"), F.lit(0)))).alias("name"))
-    return tokens.join(names, "name").groupBy("example_id").agg(F.count("*").alias("mentioned"))
+    """Documents that name a file of the test items: an equality join of names instead of a search for each."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_FILES), F.lit(0)))).alias("name")
+    names = table(spark, sf, "test_items").where("text is not null").select(found).distinct()
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", found).join(names, "name").groupBy("doc_id").agg(F.count("*").alias("mentioned"))
 
 
 @query("""WITH p AS (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT a, b, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 100 ELSE 100.0 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) END, 6) AS ratio FROM p""")

@@ -36,14 +36,14 @@ def woe_iv(spark: SparkSession, sf: str) -> DataFrame:
     return risk.woe_iv(_scored(spark, sf), "score", "label", 10).select("bin", F.round("woe", 6).alias("woe"), F.round("iv", 8).alias("iv"))
 
 
-@query(f"""WITH {SCORED_SQL}, base AS (SELECT * FROM s WHERE period = '1994'), e AS (SELECT list_distinct([{_EDGES}]) AS edges FROM base),
+@query(f"""WITH {SCORED_SQL}, base AS (SELECT * FROM s WHERE period = '1997'), e AS (SELECT list_distinct([{_EDGES}]) AS edges FROM base),
 x AS (SELECT bin, count(*) / sum(count(*)) OVER () AS e FROM (SELECT len(list_filter(edges, lambda x: x < score)) + 1 AS bin FROM base, e) GROUP BY ALL),
 a AS (SELECT period, bin, count(*) AS n FROM (SELECT period, len(list_filter(edges, lambda x: x < score)) + 1 AS bin FROM s, e) GROUP BY ALL), y AS (SELECT period, bin, n / sum(n) OVER (PARTITION BY period) AS a FROM a)
 SELECT p.period, round(sum((greatest(coalesce(a, 0), 1e-6) - greatest(e, 1e-6)) * ln(greatest(coalesce(a, 0), 1e-6) / greatest(e, 1e-6))), 8) AS psi FROM (SELECT DISTINCT period FROM y) p CROSS JOIN x LEFT JOIN y ON y.period = p.period AND y.bin = x.bin GROUP BY ALL""")
 def psi_by_period(spark: SparkSession, sf: str) -> DataFrame:
-    """Shift of the score's distribution against the year 1994."""
+    """Shift of the score's distribution against the year 1997."""
     s = _scored(spark, sf)
-    return risk.psi(s.where("period = '1994'"), s, "score", 10, ["period"]).select("period", F.round("psi", 8).alias("psi"))
+    return risk.psi(s.where("period = '1997'"), s, "score", 10, ["period"]).select("period", F.round("psi", 8).alias("psi"))
 
 
 _KS_SQL = """g AS (SELECT {by} q AS score, sum(label) AS p, sum(1 - label) AS n FROM (SELECT {by} floor(score / 10) AS q, label FROM s) GROUP BY ALL),
@@ -101,10 +101,10 @@ def feature_missing_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {SCORED_SQL}, e AS (SELECT list_distinct([{_EDGES}]) AS edges FROM s), b AS (SELECT period, label, len(list_filter(edges, lambda x: x < score)) + 1 AS bin FROM s, e),
 g AS (SELECT period, bin, sum(label) AS pos, sum(1 - label) AS neg FROM b GROUP BY ALL), p AS (SELECT period, greatest(pos / nullif(sum(pos) OVER w, 0), 1e-6) AS p, greatest(neg / nullif(sum(neg) OVER w, 0), 1e-6) AS q FROM g WINDOW w AS (PARTITION BY period)),
-i AS (SELECT period, sum((p - q) * ln(p / q)) AS iv FROM p WHERE period IN ('1993', '1994', '1995') GROUP BY ALL)
-SELECT 'l_extendedprice' AS feature, round(max(CASE WHEN period = '1993' THEN iv END), 8) AS iv_1993, round(max(CASE WHEN period = '1994' THEN iv END), 8) AS iv_1994, round(max(CASE WHEN period = '1995' THEN iv END), 8) AS iv_1995 FROM i""")
+i AS (SELECT period, sum((p - q) * ln(p / q)) AS iv FROM p WHERE period IN ('1996', '1997', '1998') GROUP BY ALL)
+SELECT 'l_extendedprice' AS feature, round(max(CASE WHEN period = '1996' THEN iv END), 8) AS iv_1996, round(max(CASE WHEN period = '1997' THEN iv END), 8) AS iv_1997, round(max(CASE WHEN period = '1998' THEN iv END), 8) AS iv_1998 FROM i""")
 def iv_by_period_wide(spark: SparkSession, sf: str) -> DataFrame:
-    years = ["1993", "1994", "1995"]
+    years = ["1996", "1997", "1998"]
     iv = risk.woe_iv(_scored(spark, sf), "score", "label", 10, ["period"]).where(F.col("period").isin(years)).groupBy("period").agg(F.sum("iv").alias("iv"))
     return iv.agg(*(F.round(F.max(F.when(F.col("period") == y, F.col("iv"))), 8).alias(f"iv_{y}") for y in years)).withColumn("feature", F.lit("l_extendedprice"))
 

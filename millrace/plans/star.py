@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import table
 from millrace.operators import joins
+from millrace.operators.ordered import quantiles
 from millrace.plans.define import Collector
 
 query = Collector()
@@ -62,9 +63,10 @@ def group_mean_median_count(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderpriority AS priority, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS q50, round(quantile_cont(o_totalprice, 0.75), 6) AS q75,
 round((avg(o_totalprice * o_totalprice * o_totalprice) - 3 * avg(o_totalprice) * avg(o_totalprice * o_totalprice) + 2 * pow(avg(o_totalprice), 3)) / pow(stddev_pop(o_totalprice), 3), 4) AS skew FROM orders GROUP BY ALL""")
 def quartiles_by_segment(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
-        *(F.round(F.percentile("o_totalprice", F.lit(p)), 6).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))), F.round(F.skewness("o_totalprice"), 4).alias("skew")
-    )
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority"), "o_totalprice")
+    q = quantiles(o, "o_totalprice", [0.25, 0.5, 0.75], ["priority"])
+    joined = q.join(o.groupBy("priority").agg(F.round(F.skewness("o_totalprice"), 4).alias("skew")), "priority")
+    return joined.select("priority", *(F.round(F.col("quantiles")[k], 6).alias(n) for k, n in enumerate(("q25", "q50", "q75"))), "skew")
 
 
 @query("""SELECT l_returnflag, round(sum(l_discount * l_extendedprice) / sum(l_extendedprice), 8) AS weighted_discount FROM lineitem GROUP BY ALL""")
@@ -294,9 +296,9 @@ def intersect_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def except_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").select("o_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").where("o_totalprice > 300000").select("o_custkey"))
 
 
 @query("SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) GROUP BY ALL")
