@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Filler words that an identifier may carry without meaning.
-FILLER_WORDS = ("the", "a", "an", "of", "for", "in", "on", "at", "to", "and", "or", "value", "values", "number", "total")
+FILLER_WORDS = ("the", "a", "an", "of", "in", "for", "to", "and", "or")
 
 
 def money(text: Column) -> Column:
@@ -30,7 +30,7 @@ def collapsed(text: Column) -> Column:
 def identifier(name: Column) -> Column:
     """A name in comparable form: lower case, filler words and separators dropped."""
     bare = F.regexp_replace(F.lower(name), rf"\b(?:{'|'.join(FILLER_WORDS)})\b", "")
-    return F.regexp_replace(bare, r"[_\-\s]+", "")
+    return F.regexp_replace(bare, r"[_\- ]", "")
 
 
 def digits_as_hole(name: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.scalars import collapsed
+from millrace.functions.scalars import FILLER_WORDS, collapsed
 
 #: Without a tolerance of its own a number may be off by so much.
 ABSOLUTE = 0.01
@@ -155,7 +155,7 @@ def snapshot_changes(before: DataFrame, after: DataFrame, path: str = "path", co
 
 
 def _bare(key: str) -> str:
-    return re.sub(r"[\W_]+", "", key.lower())
+    return re.sub(r"[_\- ]", "", re.sub(rf"\b(?:{'|'.join(FILLER_WORDS)})\b", "", str(key).lower()))
 
 
 def _find(key: str, keys: Sequence[str]) -> str | None:

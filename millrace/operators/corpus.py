@@ -8,8 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.stem import stem_column
+from millrace.operators.graph import components
+from millrace.operators.joins import overlap_pairs
+
 # Words that carry no meaning in a name.
-NAME_STOPWORDS = ("a", "an", "and", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+NAME_STOPWORDS = ("and", "or", "the", "a", "an", "of", "for", "in", "on", "with", "to")
+
+# Families of algorithms and the words that name them.
+ALGORITHM_FAMILIES = (
+    ("trees", r"(?i)\b(?:random\s*forest|decision\s*tree|gradient\s*boost(?:ing)?|xgboost|lgbm|lightgbm|catboost)\b"),
+    ("linear models", r"(?i)\b(?:linear\s*regression|logistic\s*regression|ridge|lasso|elastic\s*net)\b"),
+    ("support vectors", r"(?i)\b(?:svm|svr|svc|support\s*vector)\b"),
+    ("clustering", r"(?i)\b(?:k[\s-]?means|dbscan|hierarchical\s*cluster|agglomerative)\b"),
+    ("reduction", r"(?i)\b(?:pca|t[\s-]?sne|umap|dimensionality\s*reduction|singular\s*value\s*decomp)\b"),
+    ("forecasting", r"(?i)\b(?:arima|sarima|prophet|exponential\s*smoothing|time\s*series\s*(?:forecast|decompos))\b"),
+    ("neural networks", r"(?i)\b(?:neural\s*network|mlp|(?:deep\s*learn)|cnn|rnn|lstm|gru|transformer|bert|gpt)\b"),
+    ("text", r"(?i)\b(?:tf[\s-]?idf|word2vec|fasttext|word\s*embedding|sentiment\s*analy)\b"),
+    ("tests", r"(?i)\b(?:hypothesis\s*test|chi[\s-]?square|t[\s-]?test|anova|mann[\s-]?whitney|kolmogorov|shapiro|kruskal)\b"),
+    ("resampling", r"(?i)\b(?:cross[\s-]?valid|k[\s-]?fold|bootstrap|bagging|boosting|stacking|ensemble)\b"),
+)
 
 
 def step_skills(steps: DataFrame) -> DataFrame:
@@ -52,6 +70,30 @@ def shortest_name(names: DataFrame, by: str, name: str) -> DataFrame:
     return names.where(F.col(name).isNotNull()).groupBy(by).agg(F.min(F.struct(words.alias("w"), F.length(name).alias("l"), F.col(name).alias("v"))).alias("b")).select(by, F.col("b.v").alias("representative"))
 
 
+def stemmed_words(names: DataFrame, name: str) -> DataFrame:
+    """``(name, words)``: the distinct stems of each distinct name. Each distinct word is stemmed once."""
+    base = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
+    long = base.select("name", F.explode(F.array_distinct(F.transform(F.split(F.lower(F.trim("name")), r"[\s\-_/&]+"), lambda x: F.regexp_replace(x, "[^a-z0-9']", "")))).alias("word")).where("word <> ''")
+    stems = long.select("word").distinct().withColumn("stem", stem_column("word"))
+    return long.join(stems, "word").groupBy("name").agg(F.collect_set("stem").alias("words"))
+
+
+def name_covers(names: DataFrame, name: str, least: float) -> DataFrame:
+    """``(name, canonical)``: each name with the shortest name of its group.
+
+    Two names are of one group if they share at least ``least`` of the stems of
+    the shorter one. Names without words are their own. The shortest name has
+    the fewest stems, then characters, then comes first.
+    """
+    words = stemmed_words(names, name)
+    pairs = overlap_pairs(words, "name", "words", least)
+    grouped = components(pairs, "a", "b").select(F.col("node").alias("name"), "component")
+    every = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
+    joined = every.join(grouped, "name", "left").join(words, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    best = joined.groupBy("component").agg(F.min(F.struct(F.coalesce(F.size("words"), F.lit(0)).alias("w"), F.length("name").alias("l"), F.col("name").alias("v"))).alias("b"))
+    return joined.join(best, "component").select("name", F.col("b.v").alias("canonical"))
+
+
 def matching_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str | None]], *texts: str) -> Column:
     """Names of the rules a row falls under: a pattern found in any of the texts, and no exempting pattern.
 
@@ -83,16 +125,20 @@ def shifted_dependencies(steps: DataFrame, inserted: int) -> Column:
     return F.when((F.size(kept) == 0) & (number > 1), F.array(number - 1)).otherwise(kept)
 
 
-# Openings of an observation and the class they stand for, in order.
-OBSERVATIONS = (("execution succeeded", "succeeded"), ("action parse failed", "failed to parse"), ("error message", "error"), ("warning message", "warning"))
+# Classes of an observation and the signs of them, in order.
+OBSERVATIONS = (
+    ("execution succeeded", r"executed successfully\. No output\."),
+    ("action parse failed", r"^Failed to parse action from your response,"),
+    ("error message", r"^ERROR:|Traceback \(|^bash: -c: line |Error: "),
+    ("warning message", r"Warning:"),
+)
 
 
 def observation_class(text: Column) -> Column:
     """The class of an observation in an agent's log; anything else is standard output."""
-    low = F.lower(text)
     out = F.lit("standard output")
     for name, sign in reversed(OBSERVATIONS):
-        out = F.when(F.contains(low, F.lit(sign)), name).otherwise(out)
+        out = F.when(text.rlike(sign), name).otherwise(out)
     return F.when(text.isNull(), None).otherwise(out)
 
 

@@ -72,8 +72,8 @@ def rule_table_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return hit.select("id", *(F.array_contains("r", name).alias(name) for name, _, _ in RULES))
 
 
-@query("""WITH s AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda x: x NOT IN ('', 'a', 'an', 'and', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with'))) AS d,
-list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x NOT IN ('', 'a', 'an', 'and', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with'))) AS n FROM skills)
+@query("""WITH s AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda x: x NOT IN ('', 'and', 'or', 'the', 'a', 'an', 'of', 'for', 'in', 'on', 'with', 'to'))) AS d,
+list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x NOT IN ('', 'and', 'or', 'the', 'a', 'an', 'of', 'for', 'in', 'on', 'with', 'to'))) AS n FROM skills)
 SELECT id, coalesce(len(list_intersect(d, n)) / nullif(len(d), 0) >= 0.5, false) AS repeats FROM s""")
 def low_quality_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "skills").select("id", K.repeats_name(F.col("name"), F.col("description"), 0.5).alias("repeats"))
@@ -95,8 +95,8 @@ def action_counts(spark: SparkSession, sf: str) -> DataFrame:
     return line.select(K.action(F.col("line"))["name"].alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'agent_log' AND text IS NOT NULL) SELECT CASE WHEN contains(lower(line), 'succeeded') THEN 'execution succeeded' WHEN contains(lower(line), 'failed to parse') THEN 'action parse failed'
-WHEN contains(lower(line), 'error') THEN 'error message' WHEN contains(lower(line), 'warning') THEN 'warning message' ELSE 'standard output' END AS class, count(*) AS n FROM l WHERE starts_with(line, 'Observation:') GROUP BY ALL""")
+@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'agent_log' AND text IS NOT NULL) SELECT CASE WHEN contains(line, 'executed successfully. No output.') THEN 'execution succeeded' WHEN starts_with(line, 'Failed to parse action from your response,') THEN 'action parse failed'
+WHEN starts_with(line, 'ERROR:') OR contains(line, 'Traceback (') OR starts_with(line, 'bash: -c: line ') OR contains(line, 'Error: ') THEN 'error message' WHEN contains(line, 'Warning:') THEN 'warning message' ELSE 'standard output' END AS class, count(*) AS n FROM l WHERE starts_with(line, 'Observation:') GROUP BY ALL""")
 def observation_classes(spark: SparkSession, sf: str) -> DataFrame:
     logs = table(spark, sf, "documents").where("source = 'agent_log' and text is not null")
     line = logs.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.startswith(F.col("line"), F.lit("Observation:")))
@@ -127,3 +127,20 @@ def file_mentions(spark: SparkSession, sf: str) -> DataFrame:
 def fuzzy_ratio(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return p.select(F.col("n_name").alias("a"), F.col("r_name").alias("b"), F.round(S.similarity_ratio(F.col("n_name"), F.col("r_name")), 6).alias("ratio"))
+
+
+def _family_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS family, count(*) FILTER (regexp_matches(text, '{pattern}')) AS documents FROM documents" for name, pattern in K.ALGORITHM_FAMILIES)
+
+
+@query(_family_sql())
+def algorithm_families(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents name an algorithm of each family, in one pass."""
+    counted = table(spark, sf, "documents").agg(*(F.count_if(F.col("text").rlike(p)).alias(name) for name, p in K.ALGORITHM_FAMILIES))
+    return counted.unpivot([], [name for name, _ in K.ALGORITHM_FAMILIES], "family", "documents")
+
+
+@query()
+def name_covers(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of clusters and the shorter names that cover them, by word stems; a stemmer has no SQL."""
+    return K.name_covers(table(spark, sf, "step_clusters").select("name"), "name", 1.0)

@@ -29,9 +29,9 @@ INNER_FILES = 20
 # File endings and the types they stand for.
 TYPES = {
     ".csv": "csv", ".tsv": "tsv", ".json": "json", ".geojson": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".arff": "arff", ".yaml": "yaml", ".yml": "yaml",
-    ".html": "html", ".htm": "html", ".md": "markdown", ".markdown": "markdown", ".tex": "tex", ".txt": "text", ".log": "log", ".sqlite": "sqlite", ".sqlite3": "sqlite", ".db": "sqlite",
-    ".npy": "npy", ".npz": "npz", ".parquet": "parquet", ".dbf": "dbf", ".gz": "gzip", ".zip": "zip", ".tar": "tar", ".tgz": "tar", ".prj": "projection", ".cpg": "codepage", ".shx": "shape_index",
-    ".xlsx": "excel", ".xls": "excel", ".nc": "netcdf", ".gpkg": "sqlite", ".shp": "shapefile",
+    ".html": "html", ".htm": "html", ".md": "markdown", ".markdown": "markdown", ".tex": "tex", ".latex": "tex", ".txt": "text", ".text": "text", ".log": "log", ".sqlite": "sqlite", ".sqlite3": "sqlite", ".db": "sqlite",
+    ".npy": "npy", ".npz": "npz", ".parquet": "parquet", ".pq": "parquet", ".dbf": "dbf", ".gz": "gzip", ".zip": "zip", ".tar": "tar", ".tgz": "tar", ".prj": "projection", ".cpg": "codepage", ".shx": "shape_index",
+    ".xlsx": "excel", ".xls": "excel", ".nc": "netcdf", ".nc4": "netcdf", ".cdf": "netcdf", ".gpkg": "sqlite", ".shp": "shapefile",
 }
 DELIMITERS = (",", "\t", "|", ";")
 

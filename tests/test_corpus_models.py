@@ -54,7 +54,7 @@ def test_evaluation_never_runs_text():
 
 
 def test_logs(spark):
-    df = spark.createDataFrame([("Execution succeeded", "Action: fillna(column='x')"), ("Error: no", "nothing"), (None, None)], "o string, a string")
+    df = spark.createDataFrame([("It was executed successfully. No output.", "Action: fillna(column='x')"), ("NameError: no", "nothing"), (None, None)], "o string, a string")
     got = df.select(K.observation_class(F.col("o")).alias("c"), K.action(F.col("a"))["name"].alias("n"), K.action(F.col("a"))["argument"].alias("g")).collect()
     assert [tuple(r) for r in got] == [("execution succeeded", "fillna", "column='x'"), ("error message", None, None), (None, None, None)]
     errors = spark.createDataFrame([("t", 0.5, "b"), ("t", 0.1, "a")], "t string, score double, text string")
@@ -89,3 +89,17 @@ def test_reduction_and_oversampling(spark, blobs):
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts[0] == 43 and 36 <= counts[1] <= 49
     assert out.where("id is null").agg(F.min("x"), F.max("x")).first()[1] <= 6.0
+
+
+@pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"),
+                                            ("conditional", "condit"), ("triplicate", "triplic"), ("hopefulness", "hope"), ("revival", "reviv"), ("adoption", "adopt"), ("rate", "rate"), ("controll", "control"), ("cleaning", "clean"), ("is", "is")])
+def test_stems(word, want):
+    from millrace.functions.stem import stem
+
+    assert stem(word) == want
+
+
+def test_name_covers(spark):
+    df = spark.createDataFrame([("data cleaning",), ("cleaning",), ("Clean Data Steps",), ("plotting",), ("--",), (None,)], "name string")
+    got = {r["name"]: r["canonical"] for r in K.name_covers(df, "name", 1.0).collect()}
+    assert got == {"data cleaning": "cleaning", "cleaning": "cleaning", "Clean Data Steps": "cleaning", "plotting": "plotting", "--": "--"}
