@@ -19,6 +19,10 @@ DEFAULTS = {
 }
 
 
+#: Tables written by each application, for ``clear_materialised``.
+_written: dict[str, list[str]] = {}
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("millrace")
@@ -64,9 +68,19 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_materialised(spark: SparkSession) -> int:
+    """Delete the tables that this application wrote; results that still read them must be done. Their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 #: Bytes up to which a table is sent to all executors, and what a row of a few fields takes at most.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 160
 
