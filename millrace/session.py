@@ -92,3 +92,13 @@ def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
     """
     kept = materialised(df, name)
     return F.broadcast(kept) if kept.count() * ROW_BYTES <= BROADCAST_BYTES else kept
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has too few parts for them (a single small file, say).
+
+    Tables of many files or of a large one are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < parts < cores // 2 else df

@@ -38,3 +38,9 @@ def test_shared_folder_comes_from_the_session(spark):
     if configured is None:
         pytest.skip("not set here")
     assert session.shared_dir(spark) == configured
+
+
+def test_spread_leaves_wide_tables_alone(spark):
+    narrow, wide = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 4)
+    assert session.spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert session.spread(wide) is wide
