@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.session import spread
+
 #: Fixed value: the public pattern that splits a text before merges.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -150,7 +152,7 @@ def encode_corpus(
                     yield pa.RecordBatch.from_arrays([batch.column(0)[first:row], ids], names=[key, "ids"])
                     first, offsets, values = row, [0], []
 
-    return slim.mapInArrow(run, schema)
+    return spread(slim).mapInArrow(run, schema)
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

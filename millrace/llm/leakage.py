@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.words import words
+from millrace.session import spread
 
 #: Bytes of item text in one block; the driver and each worker hold one block.
 ITEM_BLOCK_BYTES = 32 << 20
@@ -239,6 +240,6 @@ def find_leaks(
                 kept = [(*k, *v) for k, v in found.items() if v[0] or v[1] >= similarity]
                 yield pd.DataFrame(kept, columns=[doc_key, item_key, "passages", "similarity"])
 
-        part = slim.mapInPandas(run, f"`{doc_key}` string, `{item_key}` bigint, passages bigint, similarity double")
+        part = spread(slim).mapInPandas(run, f"`{doc_key}` string, `{item_key}` bigint, passages bigint, similarity double")
         result = part if result is None else result.unionByName(part)
     return result.withColumn(doc_key, F.col(doc_key).cast(documents.schema[doc_key].dataType))
