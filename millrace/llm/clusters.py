@@ -6,7 +6,9 @@ different columns have similarity 0, so a cluster is a column with a cluster
 of phrasings. Phrasings are weighted nodes (all steps with the same phrasing
 are one node) of a sparse graph: two are joined by an edge if they share a
 distinguishing skill, title word or word, and the edge's similarity is that of
-what their steps carry. In each round all mutual best pairs merge in parallel;
+what their steps carry. Every phrasing is a node, however rare it is. Clusters
+cannot leave the components of the pairs that reach the threshold, so edges are
+built inside those only. In each round all mutual best pairs merge in parallel;
 linkage is the average over all pairs of steps, absent edges counting 0; it
 stops when no similarity reaches the threshold.
 """
@@ -17,16 +19,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.graph import components
 from millrace.session import checkpointed, materialised
 
 THRESHOLD = 0.5
 
-#: A phrasing of at least one in so many steps is a node of the graph, so the
-#: graph has at most so many nodes; rarer ones join their most similar cluster.
-CORE_SHARE = 20_000
+#: Rows of one feature that meet in one task; the rest go to further blocks, and no pair is lost.
+BLOCK_ROWS = 2_000
 
 #: Words of at least one in so many steps are known as words of the language.
 WORD_SHARE = 2_000
@@ -167,37 +169,83 @@ def _features(parsed: DataFrame) -> DataFrame:
     return skill.unionByName(title).unionByName(word).groupBy("phrasing", "feature").agg(F.count("*").alias("n"))
 
 
-def _vectors(features: DataFrame, cores: DataFrame) -> DataFrame:
-    """``(phrasing, kind, feature, x)``: unit vectors, one a kind of feature, weighted by rarity over the core phrasings."""
-    core = features.join(cores.select("phrasing"), "phrasing")
-    seen = core.groupBy("feature").agg(F.sum(F.lit(1.0)).alias("df"))
-    total = cores.agg(F.count("*").alias("total"))
-    share = features.join(cores.select("phrasing", F.col("n").alias("steps")), "phrasing", "left")
+def _vectors(features: DataFrame, counted: DataFrame) -> DataFrame:
+    """``(phrasing, kind, feature, x)``: unit vectors, one a kind of feature, weighted by rarity over the phrasings."""
+    seen = features.groupBy("feature").agg(F.sum(F.lit(1.0)).alias("df"))
+    total = counted.agg(F.count("*").alias("total"))
     weighted = (
-        share.join(seen, "feature").crossJoin(F.broadcast(total))  # one row
+        features.join(counted.select("phrasing", F.col("n").alias("steps")), "phrasing")
+        .join(seen, "feature").crossJoin(F.broadcast(total))  # one row
         .withColumn("kind", F.substring("feature", 1, 1))
-        .withColumn("x", F.col("n") / F.coalesce("steps", F.lit(1)) * F.log((F.col("total") + 1) / F.col("df")))
+        .withColumn("x", F.col("n") / F.col("steps") * F.log((F.col("total") + 1) / F.col("df")))
     )
     norm = weighted.groupBy("phrasing", "kind").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return weighted.join(norm, ["phrasing", "kind"]).where("norm > 0").select("phrasing", "kind", "feature", (F.col("x") / F.col("norm")).alias("x"))
 
 
-def _blend(s: Column, t: Column, w: Column, both: Column) -> Column:
+#: Parts of the cosines of skills, titles and words: if both phrasings have skills, and otherwise.
+SKILLED, PLAIN = {"s": 0.75, "t": 0.1, "w": 0.15}, {"s": 0.0, "t": 0.45, "w": 0.55}
+
+
+def _blend(both: Column) -> Column:
     """Similarity from the cosines of skills, titles and words; skills count if both have some."""
-    return F.when(both, 0.75 * s + 0.1 * t + 0.15 * w).otherwise(0.45 * t + 0.55 * w)
+    sum_of = lambda parts: sum(part * F.col(k) for k, part in parts.items() if part)
+    return F.when(both, sum_of(SKILLED)).otherwise(sum_of(PLAIN))
 
 
-def similarity_edges(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(a, b, similarity)`` of the phrasings of two vector tables that share a distinguishing feature."""
-    skilled_l = left.where("kind = 's'").select(F.col("phrasing").alias("a"), F.lit(True).alias("has_a")).distinct()
-    skilled_r = right.where("kind = 's'").select(F.col("phrasing").alias("b"), F.lit(True).alias("has_b")).distinct()
-    l = left.select(F.col("phrasing").alias("a"), "kind", "feature", F.col("x").alias("xa"))
-    r = right.select(F.col("phrasing").alias("b"), "feature", F.col("x").alias("xb"))
+def _dots(met: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(a, b, similarity)`` from ``(a, b, kind, xa, xb)``: one row a feature that both phrasings have."""
+    skilled = vectors.where("kind = 's'").select("phrasing", F.lit(True).alias("has")).distinct()
     # a feature with a small part in both vectors adds next to nothing to a cosine
-    dots = l.where("xa > 0.02").join(r.where("xb > 0.02"), "feature").groupBy("a", "b").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("xa") * F.col("xb"))), F.lit(0.0)).alias(k) for k in "stw"))
-    joined = dots.join(skilled_l, "a", "left").join(skilled_r, "b", "left")
-    both = F.coalesce(F.col("has_a") & F.col("has_b"), F.lit(False))
-    return joined.select("a", "b", _blend(F.col("s"), F.col("t"), F.col("w"), both).alias("similarity"))
+    dots = met.where("xa > 0.02 and xb > 0.02").groupBy("a", "b").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("xa") * F.col("xb"))), F.lit(0.0)).alias(k) for k in "stw"))
+    joined = dots.join(skilled.withColumnsRenamed({"phrasing": "a", "has": "has_a"}), "a", "left").join(skilled.withColumnsRenamed({"phrasing": "b", "has": "has_b"}), "b", "left")
+    return joined.select("a", "b", _blend(F.coalesce(F.col("has_a") & F.col("has_b"), F.lit(False))).alias("similarity"))
+
+
+def _meet(rows: DataFrame, on: list[str], left: dict[str, str], right: dict[str, str]) -> DataFrame:
+    """``rows`` joined with themselves on ``on``; a hot key is split into blocks, each with all rows of the other side."""
+    hot = rows.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    kept = rows.join(hot, on)
+    l = kept.withColumn("block", F.pmod(F.xxhash64("phrasing"), F.col("blocks")).cast("int")).select(*on, "block", *(F.col(c).alias(n) for c, n in left.items()))
+    r = kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*on, "block", *(F.col(c).alias(n) for c, n in right.items()))
+    return l.join(r, [*on, "block"])
+
+
+def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(a, b, similarity)`` of all pairs of phrasings of at least ``threshold``, each once.
+
+    The similarity is one dot product of vectors of at most unit length, with
+    skills for two skilled phrasings and without for others. If the features
+    of a vector after some place have a norm below the threshold, then no pair
+    reaches it with those alone; so two such phrasings share a feature before
+    that place in both vectors, rare features coming first. No pair is lost.
+    """
+    skilled = vectors.where("kind = 's'").select("phrasing", F.lit(True).alias("has")).distinct()
+    rarity = vectors.groupBy("feature").agg(F.count("*").alias("df"))
+    known = vectors.join(skilled, "phrasing", "left").withColumn("has", F.coalesce("has", F.lit(False))).join(rarity, "feature")
+    square = lambda parts: F.create_map(*(F.lit(v) for kv in parts.items() for v in kv))[F.col("kind")] * F.col("x") * F.col("x")
+    plain = known.where("kind <> 's'").select(F.lit("plain").alias("mode"), "phrasing", "has", "feature", "df", square(PLAIN).alias("y"))
+    modes = plain.unionByName(known.where("has").select(F.lit("skilled").alias("mode"), "phrasing", "has", "feature", "df", square(SKILLED).alias("y")))
+    # the features of one phrasing, common ones first: the norm from each one on
+    rest = F.sum("y").over(Window.partitionBy("mode", "phrasing").orderBy(F.desc("df"), F.desc("feature")).rowsBetween(Window.unboundedPreceding, 0))
+    front = checkpointed(modes.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9).select("mode", "feature", "phrasing", "has"))
+    met = _meet(front, ["mode", "feature"], {"phrasing": "a", "has": "has_a"}, {"phrasing": "b", "has": "has_b"})
+    pairs = met.where("a < b and not (mode = 'plain' and has_a and has_b)").select("a", "b").distinct()
+    l = vectors.select(F.col("phrasing").alias("a"), "kind", "feature", F.col("x").alias("xa"))
+    r = vectors.select(F.col("phrasing").alias("b"), "feature", F.col("x").alias("xb"))
+    return _dots(pairs.join(l, "a").join(r, ["b", "feature"]), vectors).where(F.col("similarity") >= threshold)
+
+
+def similarity_edges(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(a, b, similarity)`` of the phrasings of one component that share a distinguishing feature, either way round and with themselves.
+
+    Clusters with an average of at least ``threshold`` hold a pair that reaches
+    it, so no cluster leaves a component of such pairs.
+    """
+    parts = components(checkpointed(near_pairs(vectors, threshold)), "a", "b").select(F.col("node").alias("phrasing"), "component")
+    placed = checkpointed(vectors.join(parts, "phrasing", "left").withColumn("component", F.coalesce("component", "phrasing")))
+    met = _meet(placed, ["component", "feature"], {"phrasing": "a", "kind": "kind", "x": "xa"}, {"phrasing": "b", "x": "xb"})
+    return _dots(met, vectors)
 
 
 def reciprocal_linkage(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -244,22 +292,14 @@ def cluster_steps(steps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     parsed = materialised(parsed_steps(step_records(steps)), "steps-parsed")
     counted = parsed.groupBy("phrasing").agg(F.count("*").alias("n"))
-    total = parsed.count()
     counted = checkpointed(counted)
-    cores = counted.where(F.col("n") >= max(2 if total > 5_000 else 1, -(-total // CORE_SHARE)))
-    vectors = checkpointed(_vectors(_features(parsed), cores))
-    core_vectors = vectors.join(cores.select("phrasing"), "phrasing")
-    edges = checkpointed(similarity_edges(core_vectors, core_vectors))
-    linked = reciprocal_linkage(cores.select(F.col("phrasing").alias("node"), F.col("n").alias("weight")), edges.where("a < b"), threshold)
-    operation = linked.select(F.col("node").alias("phrasing"), F.col("cluster").alias("operation"))
-    # rare phrasings join the operation with the highest average similarity
-    rare_vectors = vectors.join(cores.select("phrasing"), "phrasing", "left_anti")
-    core = operation.join(cores, "phrasing").select(F.col("phrasing").alias("b"), "operation", "n")
+    vectors = checkpointed(_vectors(_features(parsed), counted))
+    edges = checkpointed(similarity_edges(vectors, threshold))
+    linked = reciprocal_linkage(counted.select(F.col("phrasing").alias("node"), F.col("n").alias("weight")), edges.where("a < b"), threshold)
+    known = linked.select(F.col("node").alias("phrasing"), F.col("cluster").alias("operation"))
+    other = known.join(counted, "phrasing").select(F.col("phrasing").alias("b"), F.col("operation").alias("ob"), "n")
+    pairs = edges.join(known.withColumnsRenamed({"phrasing": "a", "operation": "oa"}), "a").join(other, "b").where("oa = ob")
     mean = F.sum(F.col("similarity") * F.col("n")) / F.sum("n")
-    joined = similarity_edges(rare_vectors, core_vectors).join(core, "b").groupBy("a", "operation").agg(mean.alias("mean"))
-    joined = joined.where(F.col("mean") >= threshold).groupBy("a").agg(F.min_by("operation", F.struct((-F.col("mean")).alias("m"), "operation")).alias("operation"))
-    known = operation.unionByName(joined.select(F.col("a").alias("phrasing"), "operation"))
-    pairs = edges.join(operation.withColumnsRenamed({"phrasing": "a", "operation": "oa"}), "a").join(core.withColumnRenamed("operation", "ob"), "b").where("oa = ob")
     typical = pairs.groupBy(F.col("a").alias("phrasing")).agg(mean.alias("typicality"))
     named = counted.select("phrasing").join(known, "phrasing", "left").join(typical, "phrasing", "left")
     named = named.select("phrasing", F.coalesce("operation", "phrasing").alias("operation"), F.coalesce("typicality", F.lit(0.0)).alias("typicality"))

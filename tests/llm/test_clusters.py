@@ -88,3 +88,40 @@ def test_clusters_are_operation_and_column(spark):
 
 def test_empty_table(spark):
     assert K.cluster_steps(make_steps(spark, 1).limit(0)).count() == 0
+
+
+def test_rare_phrasings_meet_in_a_large_table(spark):
+    """Two alike phrasings of one step each are linked, beside one or five thousand other steps."""
+    rare = ["Extrapolate the barometric seasonality of `zuxa_rate`", "Extrapolate barometric seasonality for `zuxo_rate`"]
+    t = dt.datetime(2024, 1, 1)
+    for n in (3_000, 5_200):
+        rows = [(f"e{k}", [f"Drop every row that lacks {'bdfgklmn'[k % 8]}o{'rstvz'[k % 5]}a_rate"], None, t, None) for k in range(n)] + [(f"r{k}", [x], [["s5", "s6"]], t, None) for k, x in enumerate(rare)]
+        steps = spark.createDataFrame(rows, "example_id string, steps array<string>, skills array<array<string>>, extracted_at timestamp, cluster string")
+        found = {r["step_id"]: r["cluster"].split(" | ") for r in K.cluster_steps(steps).where("step_id like 'r%'").collect()}
+        assert found["r0-0"][0] == "zuxarate" and found["r0-0"][1] == found["r1-0"][1], n
+
+
+def test_near_pairs_are_all_pairs(spark, monkeypatch):
+    """The pairs found by rare features, in blocks, are those of all pairs compared."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 5)
+    rng = random.Random(3)
+    words = [f"w:{k}" for k in range(12)]
+    features = []
+    for k in range(40):
+        own = set(rng.choices(words, weights=range(1, 13), k=5)) | ({f"t:{rng.randint(0, 3)}"} if k % 3 else set()) | ({f"s:{rng.randint(0, 4)}", "s:9"} if k % 2 else set())
+        features += [(f"p{k:02d}", f, 1) for f in own]
+    counted = spark.createDataFrame([(f"p{k:02d}", 1) for k in range(40)], "phrasing string, n int")
+    vectors = K._vectors(spark.createDataFrame(features, "phrasing string, feature string, n int"), counted).cache()
+    v = {}
+    for r in vectors.collect():
+        v.setdefault(r["phrasing"], {}).setdefault(r["kind"], {})[r["feature"]] = r["x"]
+    for threshold in (0.3, 0.5, 0.8):
+        want = set()
+        for a in v:
+            for b in v:
+                dot = {k: sum(x * v[b].get(k, {}).get(f, 0) for f, x in v[a].get(k, {}).items() if x > 0.02 and v[b].get(k, {}).get(f, 0) > 0.02) for k in "stw"}
+                parts = K.SKILLED if "s" in v[a] and "s" in v[b] else K.PLAIN
+                if a < b and sum(parts[k] * dot[k] for k in "stw") >= threshold:
+                    want.add((a, b))
+        assert {(r["a"], r["b"]) for r in K.near_pairs(vectors, threshold).collect()} == want
+        assert want
