@@ -11,6 +11,7 @@ such things are no evidence.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.language import ANY_STOPWORD
+from millrace.llm.prefilter import Prefilter
 from millrace.session import spread
 
 KINDS = ("placeholder", "filler", "error", "script_notice")
@@ -80,18 +82,6 @@ FILLER = [
     re.compile(r"\b(?:(?:hier|dein|ihr) (?:steht|kommt|text hier|beschreibung hier|steht ihr|steht dein)\b.{0,20}(?:text|beschreibung|titel|hier)|(?:fügen sie|füge) (?:hier )?(?:ihren|deinen|den) text|(?:blindtext|beispieltext|platzhaltertext)[.:]?$)"),
 ]
 
-#: One of these stands in every passage that the patterns below and above can match.
-SYMBOLS = "{ [ < % $ @ == || ## ^ ! #".split() + "~~ __ « tbd tba tbc xxx (your (insert (enter".split() + ["to be ", "todo:", "fixme", "por completar", "por definir", "à compléter", "à définir", "noch "]
-TRIGGERS = (
-    "error http fehler erreur fallo page página seite access accès acceso zugriff zugang service servicio dienst mainten mantenimiento wartung".split()
-    + "anfragen requests requêtes solicitudes peticiones gateway session sesión sitzung script skript cookie browser navegador navigateur".split()
-    + "captcha robot lorem here placeholder aquí ici insert insér füge asdf qwer oops permis droit berechtig derecho subscribers members removed forbidden".split()
-    + ["went wrong", "gone wrong", "salió mal", "salido mal", "schiefgel", "try again", "try it again", "log in ", "sign in ", "not found", "could not find", "cannot find", "couldn't find", "nothing "]
-    + ["can't find", "timed out", "too long", "could not connect", "connection ", "database", "link ", "rate limit", "request limit", "you are human", "you are a", "own words", "your own"]
-    + ["sample text", "dummy", "blindtext", "beispieltext", "texto de", "texte ", "votre texte", "you have been", "you are blocked", "más tarde", "plus tard", "es später", "de nuevo", "otra vez"]
-    + ["to edit", "to add", "to change", "short while", "unexpected failure", "met a problem", "internal ", "interno", "interne", "interner", "you do not have", "you don't have", "you may not", "rights", "vuelve al inicio", "start page", "status ", "estado "]
-)
-
 CODE_WORDS = r"(?:error|http|https|status|code|fehler|erreur|fallo|estado)"
 ERROR = [
     re.compile(rf"(?:^|[!?:|] ?){CODE_WORDS}(?: (?:error|code|status))?\s*[:#\-–]?\s*(?:4[0-5]\d|50\d|52\d)\b"),
@@ -149,22 +139,11 @@ def _automaton(literals: list[str]) -> ahocorasick.Automaton:
     return found
 
 
-_SYMBOLS, _TRIGGERED = _automaton(SYMBOLS), _automaton(TRIGGERS)
-_COLON_NAME = re.compile(r":[a-z][\w. ]{1,30}:")
-_STATUS = re.compile(r"(?:^|[.!?>] ?)[45]\d\d\b")
-
-
-def _unfilled(low: str) -> bool:
-    """Whether a lower-cased passage can hold a placeholder."""
-    return next(_SYMBOLS.iter(low), None) is not None or _COLON_NAME.search(low) is not None
-
-
-def _telling(low: str) -> bool:
-    """Whether a lower-cased passage can hold filler, an error or a notice."""
-    if next(_TRIGGERED.iter(low), None) or _STATUS.search(low):
-        return True
-    words = low.split()
-    return _repeats(words) or len(words) > 7 and any(_wordless(p) for p in low.split(". "))
+_LATIN_FOUND = _automaton(FILLER_LATIN.split())
+# what no match can lack is read off the patterns, so that only patterns are tried that can match
+_PLACEHOLDERS, _UNFILLED = Prefilter(PLACEHOLDERS), Prefilter([UNFILLED, FIELD_UNFILLED])
+_TELLING = Prefilter([*FILLER, *SCRIPT_NOTICE, *ERROR])
+_KIND_OF = {p: kind for kind, ps in (("filler", FILLER), ("script_notice", SCRIPT_NOTICE), ("error", ERROR)) for p in ps}
 
 
 def normal_line(line: Column) -> Column:
@@ -176,8 +155,8 @@ def _normal(line: str) -> str:
     return _SPACE.sub(" ", _DIGITS.sub("0", line.lower())).strip()
 
 
-def _placeholder(part: str, english: bool) -> bool:
-    if any(p.search(part) for p in PLACEHOLDERS):
+def _placeholder(part: str, low: str, english: bool) -> bool:
+    if any(p.search(part) for p in _PLACEHOLDERS.may_match(low)):
         return True
     angles = [m.group(1) for m in ANGLE.finditer(part) if m.group(1).lower() not in _TAG_NAMES]
     if len(angles) > 1 or any(a.isupper() and len(a) > 2 or "_" in a or " " in a for a in angles):
@@ -188,20 +167,18 @@ def _placeholder(part: str, english: bool) -> bool:
     quoted = GUILLEMETS.findall(part)
     if english and len(quoted) > 1 or any(NAME_FORM.fullmatch(q) for q in quoted):
         return True
-    return len(UNFILLED.findall(part)) > 1 or len(FIELD_UNFILLED.findall(part)) > 1
+    return any(len(p.findall(part)) > 1 for p in _UNFILLED.may_match(low))
 
 
-def _filler(part: str) -> bool:
+def _latin(part: str) -> bool:
     latin = sum(w in _LATIN for w in _LATIN_WORD.findall(part))
-    if latin > 3 or latin > 1 and len(part) < 40 and part.startswith("lorem"):
-        return True
-    return _wordless(part) or _one_word(part) or any(p.search(part) for p in FILLER)
+    return latin > 3 or latin > 1 and len(part) < 40 and part.startswith("lorem")
 
 
 def _one_word(part: str) -> bool:
     """The same word again and again, with little else."""
     plain = [w for w in (x.strip(".,;:!?") for x in part.split()) if w.isalpha()]
-    return len(plain) > 3 and max(map(plain.count, set(plain))) >= 0.7 * len(plain)
+    return len(plain) > 3 and max(Counter(plain).values()) >= 0.7 * len(plain)
 
 
 def _wordless(part: str) -> bool:
@@ -210,9 +187,10 @@ def _wordless(part: str) -> bool:
     return len(plain) > 7 and ANY_STOPWORD.isdisjoint(plain) and all(map(str.isalpha, (w.rstrip(".,;:!?") for w in plain))) and len(set(plain)) < len(plain)
 
 
-def _repeats(words: list[str]) -> bool:
-    """Some word or word pair follows itself again and again."""
-    return sum(map(eq, words, words[1:])) > 2 or sum(map(eq, words, words[2:])) > 4
+def _repeats(part: str) -> bool:
+    """Some word follows itself or the word after it: all that the patterns without a literal need."""
+    words = part.replace(",", " ").split()
+    return any(map(eq, words, words[1:])) or any(map(eq, words, words[2:]))
 
 
 _ENGLISH = frozenset("the is in of and to for with was by are this that you not".split())
@@ -227,11 +205,9 @@ def evidence(text: str | None, boilerplate: frozenset[str] = frozenset()) -> str
     text = _INLINE.sub(" ⌷ ", text)
     paragraphs = _BLANK.split(text)
     for paragraph in paragraphs:
-        low = " ".join(paragraph.lower().split())
-        if not (_unfilled(low) or _telling(low)):
-            continue
         lines = [x for x in paragraph.split("\n") if x.strip()]
-        kept = [x for x in lines if _normal(x) not in boilerplate or _kind(x)] if boilerplate else lines
+        # a line of its own is evidence or not, whether it recurs or not
+        kept = [x for x in lines if _normal(x) not in boilerplate or _kind(x)] if boilerplate and len(lines) > 1 else lines
         if kept and (kind := _kind(" \n ".join(kept))):
             return kind
     return None
@@ -242,19 +218,19 @@ def _kind(paragraph: str) -> str | None:
     flat = _LEADING.sub("", _SPACE.sub(" ", bare).strip()).rstrip("* ")
     low = flat.lower()
     english = len(_ENGLISH.intersection(low.split())) > 1
-    if _unfilled(low) and _placeholder(flat, english):
+    if _placeholder(flat, low, english):
         return "placeholder"
-    if not _telling(low):
-        return None
+    latin = sum(1 for _ in _LATIN_FOUND.iter(low)) > 1
     for part in _SENTENCE.split(low):
-        if not _telling(part) or NARRATIVE.search(part) or "⌷" in part:
+        tried = _TELLING.may_match(part, _repeats(part))
+        odd = _wordless(part) or _one_word(part) or latin and _latin(part)
+        if not (tried or odd) or NARRATIVE.search(part) or "⌷" in part:
             continue
-        if _filler(part):
+        if odd:
             return "filler"
-        if any(p.search(part) for p in SCRIPT_NOTICE):
-            return "script_notice"
-        if any(p.search(part) for p in ERROR):
-            return "error"
+        for p in tried:
+            if p.search(part):
+                return _KIND_OF[p]
     return None
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 from millrace.llm import residue as R
+from tests.llm.test_prefilter import examples
 
 GENUINE = "The file covers the region and holds 503 records. Missing cells mostly mean that the value was not measured."
 
@@ -53,3 +54,28 @@ def test_recurrent_evidence_stays_evidence(spark):
     lines = R.recurrent_lines(df, "source", "text", 0.01, 20).first()["boilerplate"]
     assert set(lines) == {"number 0 of the list", "footer of the site", "0 - page not found"}
     assert R.find_residue(df).count() == 60
+
+
+@pytest.mark.parametrize("text", ["This site is currently unavailable.", "This site is temporarily offline.", "The server is overloaded.", "The server encountered a problem.", "We are offline for the moment.", "The post might have been deleted."])
+def test_errors_without_a_cue(text):
+    assert R.evidence(text) == "error"
+
+
+@pytest.mark.parametrize("text", ["Checking your connection.", "DDoS protection by the provider."])
+def test_notices_without_a_cue(text):
+    assert R.evidence(text) == "script_notice"
+
+
+@pytest.mark.parametrize("text", ["Blah blah blah.", "foo bar baz", "Paste your text in this box.", "Consectetur adipiscing elit sed eiusmod."])
+def test_filler_without_a_cue(text):
+    assert R.evidence(text) == "filler"
+
+
+def test_prefilter_passes_whatever_a_pattern_matches():
+    """Texts made from each pattern, all of whose alternatives are taken, are passed on to it."""
+    for found in (R._PLACEHOLDERS, R._UNFILLED, R._TELLING):
+        for p in found.patterns:
+            made = examples(p)
+            assert made
+            for text in made:
+                assert p in found.may_match(text.lower(), R._repeats(text.lower())), (p.pattern, text)
