@@ -12,13 +12,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.words import words
 from millrace.llm.language import ANY_STOPWORD, VOTERS, tokens
+from millrace.llm.prefilter import Prefilter
 from millrace.session import spread
 
 DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
@@ -27,16 +27,6 @@ DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
 
 NOTHING = "none|null|nil|n a|na|nan|nothing|empty|blank|no answer|no reply|no response|no content|not available|not applicable|undefined|missing|unknown|no data|answer missing|no answer given|no answer provided|tbd|tba|todo|ninguno|ninguna|nada|sin respuesta|vacío|vacio|no disponible|aucun|aucune|rien|vide|sans réponse|pas de réponse|néant|non disponible|keine|keine antwort|nichts|leer|nicht verfügbar|k a|entfällt|deleted|removed|eliminado|supprimé|gelöscht"
 
-#: Cues of a refusal; a response without any of them is none.
-REFUSAL_CUES = [
-    "can't", "cannot", "can not", "could not", "couldn't", "unable", "not able", "won't", "will not", "would not", "not allowed", "not permit", "not be permitted", "n't permit", "not let", "n't let",
-    "decline", "refuse", "rather not", "prefer not", "refrain", "guideline", "policy", "policies", "safety reasons", "reasons of", "not comfortable", "pass on", "stay away", "told not to", "been told", "told to", "been asked", "been instructed", "instructed to", "leave alone", "keep away", "keep out", "i must", "i have to", "i need to", "outside what", "beyond what", "not part of what",
-    "do not have access", "don't have access", "no answer can", "nothing can be", "not in a position", "not my place", "must leave", "have to leave", "not authorised", "not authorized", "not supposed", "forbid", "prohibit", "do not answer", "don't answer", "do not discuss", "don't discuss", "not going to", "not something i", "no comment", "not for me to", "against my", "not available to me", "off limits", "out of scope", "have to skip", "must skip",
-    "no puedo", "no podemos", "no me es posible", "no me está permitido", "no tengo permitido", "no tengo permiso", "no estoy autorizado", "no voy a", "prefiero no", "imposible", "me niego", "debo rechazar", "no debo", "lamentablemente", "no se me permite", "no puede ser", "queda fuera", "declino",
-    "ne peux pas", "ne peux", "ne puis", "ne pouvons", "pas en mesure", "impossible", "préfère ne", "refuse", "ne suis pas autorisé", "pas le droit", "pas permis", "décline", "dois refuser", "ne souhaite pas", "ne vais pas", "ne dois pas", "interdit",
-    "kann ich", "ich kann", "können wir", "darf ich", "ich darf", "nicht möglich", "ablehnen", "lehne", "möchte ich mich", "nicht beantworten", "keine auskunft", "keine antwort", "nicht erlaubt", "nicht gestattet", "verweigern", "werde ich nicht", "nicht äußern", "nicht helfen", "nicht befugt",
-]
-
 #: A sentence that declines: who, the refusing verb and what is refused.
 REFUSALS = [
     re.compile(r"\b(?:i|we)(?: am|'m| are|'re)?(?: really| truly| very| so)?(?: sorry| afraid)?[ ,]*(?:but |that )?(?:i |we )?(?:can ?not|can't|could not|couldn't|am unable|'m unable|are unable|am not able|'m not able|will not be able|won't be able|am not going|'m not going|will not|won't|would rather not|'d rather not|prefer not|must decline|have to decline|need to decline|do not want|don't want|refuse|decline|am not in a position|'m not in a position|may not|must not|am not comfortable|'m not comfortable)\b.{0,40}\b(?:help|assist|answer|answering|respond|reply|comment|discuss|provide|give|offer|share|go into|get into|talk|speak|advise|support|engage|say|work on|take|address|do (?:this|that)|with (?:this|that)|to (?:this|that))\b"),
@@ -95,15 +85,8 @@ _CLOSERS = {")": "(", "]": "[", "}": "{"}
 _NOTHING = frozenset(NOTHING.split("|"))
 
 
-def _cue_automaton() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for cue in REFUSAL_CUES:
-        found.add_word(cue, cue)
-    found.make_automaton()
-    return found
-
-
-_CUES = _cue_automaton()
+# the cues are read off the patterns: a response without any of them is no refusal
+_CUES = Prefilter(REFUSALS)
 
 
 class SuffixAutomaton:
@@ -180,14 +163,15 @@ def is_empty(answer: str | None) -> bool:
 def is_refusal(answer: str) -> bool:
     """It only declines: some sentence refuses, and no other one says anything else."""
     low = answer.lower().replace("’", "'")
-    if len(low) > 2000 or next(_CUES.iter(low), None) is None:
+    tried = _CUES.may_match(low)
+    if not tried:
         return False
     refused = False
     for part in _SENTENCE.split(low):
         part = part.strip().rstrip(".!?…)").strip(" *_>-")
         if not part:
             continue
-        if any(p.search(part) for p in REFUSALS) and not _turns(part):
+        if any(p.search(part) for p in tried) and not _turns(part):
             refused = True
         elif not any(p.search(part) for p in COURTESY):
             return False
