@@ -174,8 +174,20 @@ def log_level_hist(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT regionid, lower(trim(regionname)) AS n FROM result_left WHERE regionname IS NOT NULL GROUP BY ALL), r AS (SELECT regionid, lower(trim(regionname)) AS n FROM result_right WHERE regionname IS NOT NULL GROUP BY ALL)
 SELECT s.regionid, min(levenshtein(s.n, r.n)) AS edits FROM s JOIN r ON s.regionid = r.regionid WHERE s.n <> r.n AND substr(s.n, 1, 2) = substr(r.n, 1, 2) GROUP BY ALL""")
 def levenshtein_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    """Edit distance of names within blocks of key and first letters."""
+    """Edit distance of names within blocks of key and first letters: an edit in the first two letters is not seen.
+
+    ``levenshtein_by_key`` compares all names of a key.
+    """
     side = lambda t: table(spark, sf, t).where("regionname is not null").select("regionid", F.lower(F.trim("regionname")).alias("n")).distinct()
     s = side("result_left").withColumn("block", F.substring("n", 1, 2))
     r = side("result_right").select("regionid", F.col("n").alias("m"), F.substring("n", 1, 2).alias("block"))
     return s.join(r, ["regionid", "block"]).where("n <> m").groupBy("regionid").agg(F.min(F.levenshtein("n", "m")).cast("bigint").alias("edits"))
+
+
+@query("""WITH s AS (SELECT regionid, lower(trim(regionname)) AS n FROM result_left WHERE regionname IS NOT NULL GROUP BY ALL), r AS (SELECT regionid, lower(trim(regionname)) AS n FROM result_right WHERE regionname IS NOT NULL GROUP BY ALL)
+SELECT s.regionid, min(levenshtein(s.n, r.n)) AS edits FROM s JOIN r ON s.regionid = r.regionid WHERE s.n <> r.n GROUP BY ALL""")
+def levenshtein_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Edit distance of all differing names of a key, wherever the edit is."""
+    side = lambda t, name: table(spark, sf, t).where("regionname is not null").select("regionid", F.lower(F.trim("regionname")).alias(name)).distinct()
+    met = side("result_left", "n").join(side("result_right", "m"), "regionid").where("n <> m")
+    return met.groupBy("regionid").agg(F.min(F.levenshtein("n", "m")).cast("bigint").alias("edits"))

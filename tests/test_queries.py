@@ -51,3 +51,11 @@ def test_runs(spark, name):
 def test_registry_needs_no_session():
     assert len(QUERIES) == len(set(QUERIES)) > 100
     assert set(SQL) <= set(QUERIES)
+
+
+def test_edits_of_the_first_letters_count(spark, tmp_path):
+    """Names of a key are compared wherever they differ."""
+    for side, names in (("left", ["malulul port", "samiha", "same"]), ("right", ["amlulul port", "amiha", "same"])):
+        spark.createDataFrame(list(enumerate(names)), "regionid long, regionname string").write.parquet(f"{tmp_path}/result_{side}.parquet")
+    found = {r["regionid"]: r["edits"] for r in QUERIES["levenshtein_by_key"](spark, str(tmp_path)).collect()}
+    assert found == {0: 2, 1: 1}
