@@ -118,9 +118,17 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_WORDS_SQL}) AS word FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL)
 SELECT word, count(*) AS df, round(ln((SELECT n FROM n) / count(*)), 6) AS idf FROM w GROUP BY ALL HAVING count(*) >= 20""")
 def inverse_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of at least 20 documents only; ``inverse_document_frequency_all`` has every word."""
     return idf(table(spark, sf, "documents"), "doc_id", "text").where("df >= 20").select("word", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_WORDS_SQL}) AS word FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL)
+SELECT word, count(*) AS df, round(ln((SELECT n FROM n) / count(*)), 6) AS idf FROM w GROUP BY ALL""")
+def inverse_document_frequency_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word, however rare."""
+    return idf(table(spark, sf, "documents"), "doc_id", "text").select("word", "df", F.round("idf", 6).alias("idf"))
+
+
 @query("""WITH n AS (SELECT n_nationkey AS k, lower(n_name) AS s FROM nation), c AS (SELECT k, list_distinct(list_filter(string_split(s, ''), lambda x: x <> '')) AS c FROM n)
 SELECT a.k AS a, b.k AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 6) AS j FROM c a JOIN c b ON a.k < b.k WHERE len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) > 0.6""")
 def char_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:

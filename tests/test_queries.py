@@ -59,3 +59,9 @@ def test_edits_of_the_first_letters_count(spark, tmp_path):
         spark.createDataFrame(list(enumerate(names)), "regionid long, regionname string").write.parquet(f"{tmp_path}/result_{side}.parquet")
     found = {r["regionid"]: r["edits"] for r in QUERIES["levenshtein_by_key"](spark, str(tmp_path)).collect()}
     assert found == {0: 2, 1: 1}
+
+
+def test_idf_of_rare_words(spark, tmp_path):
+    spark.createDataFrame([(1, "common rare"), (2, "common")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["word"]: (r["df"], r["idf"]) for r in QUERIES["inverse_document_frequency_all"](spark, str(tmp_path)).collect()}
+    assert found == {"common": (2, 0.0), "rare": (1, 0.693147)}
