@@ -10,6 +10,7 @@ such things are no evidence.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -151,8 +152,18 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"\s+", " "))
 
 
+#: Longer normalised lines are known by their digest alone, so that none is cut.
+LONG_LINE = 400
+
+
+def line_key(line: Column) -> Column:
+    """A normalised line, or the digest of a long one."""
+    return F.when(F.length(line) > LONG_LINE, F.concat(F.lit("md5:"), F.md5(line))).otherwise(line)
+
+
 def _normal(line: str) -> str:
-    return _SPACE.sub(" ", _DIGITS.sub("0", line.lower())).strip()
+    line = _SPACE.sub(" ", _DIGITS.sub("0", line.lower())).strip()
+    return f"md5:{hashlib.md5(line.encode()).hexdigest()}" if len(line) > LONG_LINE else line
 
 
 def _placeholder(part: str, low: str, english: bool) -> bool:
@@ -235,7 +246,7 @@ def _kind(paragraph: str) -> str | None:
 
 
 def recurrent_lines(documents: DataFrame, host: str, text: str, share: float, least: int) -> DataFrame:
-    """``(host, boilerplate)``: the normalised lines found in at least ``share`` of a host's records.
+    """``(host, boilerplate)``: the normalised lines found in at least ``share`` of a host's records, long ones by digest.
 
     A host has at most ``1 / share`` times its mean number of lines of them,
     whatever its size. Lines are counted by their hash, with partial counts
@@ -244,7 +255,7 @@ def recurrent_lines(documents: DataFrame, host: str, text: str, share: float, le
     base = documents.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("content"))
     lines = base.select("host", F.explode(F.array_distinct(F.transform(F.split("content", "\n"), normal_line))).alias("line"))
     lines = lines.where(F.length("line") > 0)
-    counted = lines.groupBy("host", F.xxhash64("line").alias("hash")).agg(F.count("*").alias("n"), F.min(F.substring("line", 1, 400)).alias("line"))
+    counted = lines.groupBy("host", F.xxhash64("line").alias("hash")).agg(F.count("*").alias("n"), F.min(line_key(F.col("line"))).alias("line"))
     totals = base.groupBy("host").agg(F.count("*").alias("total"))
     often = counted.where(F.col("n") >= least).join(totals, counted["host"].eqNullSafe(totals["host"])).where(F.col("n") >= share * F.col("total"))
     return often.groupBy(counted["host"].alias("host")).agg(F.collect_list("line").alias("boilerplate"))

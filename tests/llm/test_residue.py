@@ -79,3 +79,15 @@ def test_prefilter_passes_whatever_a_pattern_matches():
             assert made
             for text in made:
                 assert p in found.may_match(text.lower(), R._repeats(text.lower())), (p.pattern, text)
+
+
+def test_long_recurrent_lines_are_subtracted_whole(spark):
+    """A recurrent line above 400 characters is boilerplate as a whole, and a line that only begins like it is not."""
+    footer = "We cannot find " + "a way to say how the records of this list were once put together by the people " * 6
+    assert len(footer) > 400
+    df = docs(spark, [(k, f"Some words {k}\n{footer}", "host") for k in range(60)])
+    lines = frozenset(R.recurrent_lines(df, "source", "text", 0.01, 20).first()["boilerplate"])
+    assert R._normal(footer) in lines and R._normal(footer[:400]) not in lines
+    split = f"You need to enable\n{footer}\nscripts"
+    assert R.evidence(split.replace(footer + "\n", "")) == "script_notice"
+    assert R.evidence(split) is None and R.evidence(split, lines) == "script_notice"
