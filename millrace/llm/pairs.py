@@ -1,9 +1,9 @@
 """Defects of prompt and response pairs.
 
 Copied responses are measured by traversing a suffix automaton of the prompt's
-words with the response; refusals are found by an automaton of cue phrases and
-confirmed sentence by sentence; broken-off responses by stacks of delimiters
-and by how their last sentence ends; responses in another language by votes of
+words with the response; refusals are found sentence by sentence by an
+automaton over classes of words; broken-off responses by a stack of delimiters
+over the whole response and by how its last sentence ends; responses in another language by votes of
 function words.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.words import words
 from millrace.llm.language import ANY_STOPWORD, VOTERS, tokens
-from millrace.llm.prefilter import Prefilter
 from millrace.session import spread
 
 DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
@@ -27,26 +26,57 @@ DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
 
 NOTHING = "none|null|nil|n a|na|nan|nothing|empty|blank|no answer|no reply|no response|no content|not available|not applicable|undefined|missing|unknown|no data|answer missing|no answer given|no answer provided|tbd|tba|todo|ninguno|ninguna|nada|sin respuesta|vacío|vacio|no disponible|aucun|aucune|rien|vide|sans réponse|pas de réponse|néant|non disponible|keine|keine antwort|nichts|leer|nicht verfügbar|k a|entfällt|deleted|removed|eliminado|supprimé|gelöscht"
 
-#: A sentence that declines: who, the refusing verb and what is refused.
-REFUSALS = [
-    re.compile(r"\b(?:i|we)(?: am|'m| are|'re)?(?: really| truly| very| so)?(?: sorry| afraid)?[ ,]*(?:but |that )?(?:i |we )?(?:can ?not|can't|could not|couldn't|am unable|'m unable|are unable|am not able|'m not able|will not be able|won't be able|am not going|'m not going|will not|won't|would rather not|'d rather not|prefer not|must decline|have to decline|need to decline|do not want|don't want|refuse|decline|am not in a position|'m not in a position|may not|must not|am not comfortable|'m not comfortable)\b.{0,40}\b(?:help|assist|answer|answering|respond|reply|comment|discuss|provide|give|offer|share|go into|get into|talk|speak|advise|support|engage|say|work on|take|address|do (?:this|that)|with (?:this|that)|to (?:this|that))\b"),
-    re.compile(r"\b(?:must|have to|need to|has to) (?:decline|refuse|pass|skip|abstain)\b|\bi (?:decline|refuse|must pass|have to pass)\b"),
-    re.compile(r"\b(?:question|request|task|topic|matter|subject|answer|this|that|one)\b.{0,40}\b(?:can ?not|can't|could not|will not|won't|may not) be (?:answered|discussed|handled|given|provided|addressed|processed|fulfilled|supported)\b"),
-    re.compile(r"\b(?:unable|not able|not allowed|not permitted|not authori[sz]ed|not supposed|not in a position|forbidden|not at liberty)\b.{0,15}\bto (?:help|assist|answer|provide|give|offer|comment|discuss|respond|share|reply|advise|say|work|talk|go into|support)\b"),
-    re.compile(r"\b(?:does not|doesn't|do not|don't|will not|won't) (?:permit|allow|let|enable) (?:me|us)\b"),
-    re.compile(r"\b(?:something|one|topic|task|question|request|matter|subject)\b.{0,20}\bi (?:have|had|need|am|must|was|'ve|'m|was)(?: been)? (?:to |told |asked |instructed |supposed |required )(?:to )?(?:pass|stay (?:away|out)|skip|decline|leave|avoid|refuse|refrain|keep (?:away|out|clear|off)|not)\b"),
-    re.compile(r"\b(?:outside|beyond|not part of|not within|out of|exceeds)\b.{0,12}\b(?:what i|my (?:scope|abilities|capabilities|remit|role|reach|area|guidelines|permissions)|the scope of what)\b"),
-    re.compile(r"\b(?:for|due to|because of|out of) (?:\w+ ){0,2}(?:reasons|policy|policies|concerns)\b.{0,20}\b(?:no|nothing|not|cannot|can't|unable)\b"),
-    re.compile(r"\b(?:conflict|violate|breach|against|contrary|break|infringe|go against|goes against|breaks|violates)\w*\b.{0,12}\b(?:my|our|the|its) (?:\w+ )?(?:guidelines|policy|policies|rules|principles|instructions|terms|programming)\b"),
-    re.compile(r"\bas an? (?:\w+ ){0,3}(?:assistant|language model|model|ai|bot|chatbot)\b.{0,40}\b(?:not|cannot|can't|unable|decline|no (?:opinion|access|answer)|n't)\b"),
-    re.compile(r"\b(?:no (?:answer|response|help|advice|comment|information|reply|details?)|nothing) (?:can|could|may|will|shall) be (?:given|provided|offered|shared|said)\b|\bno comment\b"),
-    re.compile(r"\b(?:have|has|need|ought|must) to leave\b.{0,60}\bto (?:you|others|someone|an? expert|your)\b"),
-    re.compile(r"\bno (?:puedo|podemos|me es posible|puedo ni debo|debo|voy a|quiero|estoy (?:en condiciones|autorizado|autorizada))\b.{0,30}\b(?:ayud\w+|respond\w+|contest\w+|dar\w*|ofrec\w+|proporcion\w+|opin\w+|coment\w+|habl\w+|asist\w+|atend\w+|aconsej\w+|trat\w+|entrar|decir|facilit\w+|resolv\w+)"),
-    re.compile(r"\b(?:no (?:tengo|se me|me está|estoy) (?:permit\w+|permis\w+|autoriz\w+)|no tengo acceso|prefiero no (?:opinar|responder|comentar|hablar|contestar|entrar|pronunciarme)|(?:debo|tengo que) (?:rechazar|declinar|abstenerme)|me niego a|declino|queda fuera de lo que|fuera de (?:mi|lo que)|va en contra de mis|mis (?:normas|pautas|directrices) no|por (?:motivos|razones) de (?:seguridad|política))\b"),
-    re.compile(r"\b(?:je|nous) (?:ne|n['’]) ?(?:peux|puis|pouvons|suis|sommes|saurais|vais|veux|souhaite|dois|désire)\b.{0,30}\b(?:pas|ni|rien|aucune?)?\b.{0,30}\b(?:aider|répondre|réponse|donner|fournir|comment\w+|discuter|parler|traiter|dire|assister|autoris\w+|mesure|suite|prononcer|conseil\w*|entrer|aborder|exprimer)\b"),
-    re.compile(r"\b(?:il m['’]est impossible|impossible (?:pour moi )?de (?:répondre|donner|vous aider|fournir|traiter)|je préfère ne pas|je (?:dois |me vois contraint\w* de )?(?:refuse\w*|décline\w*)|(?:n['’]ai|ai) pas (?:le droit|accès|l['’]autorisation)|(?:contraire|contrevient|irait à l['’]encontre) (?:à|de)? ?mes|mes (?:consignes|règles|directives) (?:ne|m['’]interdisent)|ne m['’]est pas permis|sort de ce que|pour des raisons de (?:sécurité|politique|confidentialité))\b"),
-    re.compile(r"\b(?:(?:kann|darf|möchte|werde|will|könnte)\b.{0,50}\b(?:nicht|keine?n?|leider)\b.{0,40}\b(?:helfen|beantworten|antworten|antwort|auskunft|äußern|geben|sagen|weiterhelfen|unterstützen|eingehen|sprechen|bearbeiten|kommentieren|erteilen)|(?:nicht|keine?n?|leider)\b.{0,40}\b(?:helfen|beantworten|antworten|auskunft geben|äußern|weiterhelfen|eingehen)\b.{0,10}(?:kann|darf|möchte|werde)?)"),
-    re.compile(r"\b(?:es ist mir (?:nicht|leider nicht) (?:möglich|erlaubt|gestattet)|(?:muss|müssen) (?:ich |wir )?(?:das |die |diese\w* )?(?:\w+ ){0,3}ablehnen|lehne (?:ich )?.{0,20}ab|(?:gegen|verstößt) .{0,12}(?:meine|unsere) (?:richtlinien|regeln|vorgaben)|außerhalb dessen|aus (?:sicherheits|rechtlichen|datenschutz)\w*\s?gründen)\b"),
+#: Classes of words, one letter a class: what a refusing sentence is made of, whatever its wording. ``*`` ends a stem.
+WORD_CLASSES = {
+    "S": "i we me us myself ourselves yo nosotros nosotras je nous moi ich wir mir mich uns",
+    "Y": "my our mi mis nuestro nuestra nuestros nuestras mon ma mes notre nos mein* unser*",
+    "F": "puedo podemos podré podremos podría debo debemos voy vamos quiero queremos estoy estamos tengo tenemos soy somos logro consigo prefiero",
+    "N": "not no never nothing neither nor none cannot ni nunca jamás nada ningún ninguna ne pas jamais rien aucun aucune non nicht nichts nie niemals kein*",
+    "A": "can could will would may might must shall should do does did am are is was be been being have has had able allowed permitted authorized authorised position liberty willing going want wish like care feel comfortable "
+         "supposed free inclined prepared qualified entitled meant ready intend plan equipped right "
+         "puede pueden podría es está sería posible permitido autorizad* condiciones dispuest* capaz quisiera deseo corresponde "
+         "peux puis peut pouvons pouvoir pourrai pourrais suis sommes saurais saurai vais veux souhaite souhaitons désire dois devons ai avons est habilité* autorisé* permis mesure capable possible appartient "
+         "kann können könnte darf dürfen möchte möchten werde werden will wollen bin sind ist habe haben muss müssen soll sollte befugt berechtigt möglich erlaubt gestattet lage imstande bereit",
+    "H": "help* assist* aid* answer* respon* repl* comment* discuss* provid* give giving given offer* share sharing shared advi* address* handle* handling process* fulfil* support* speak speaking talk* say saying said tell telling "
+         "weigh* opine* opinion* guid* engag* go take taking serve work access acceso accès zugriff disclose* reveal* elaborate* contribut* complet* touch accommodat* grant* do doing comply complying involved participat* cover cooperat* "
+         "ayud* contest* dar darle darte ofrec* proporcion* opin* habl* asist* atend* aconsej* trat* decir facilit* resolv* pronunci* entrar tramit* "
+         "aid* répon* donn* fourn* parl* trait* dire prononc* conseil* entrer abord* exprim* assist* suite réponse* renseign* utile service "
+         "helf* hilf* gebe beantwort* antwort* auskunft auskünfte äußer* geben sagen weiterhelf* unterstütz* eingehen sprech* bearbeit* kommentier* erteil* behilflich dien* stellung rat raten mitteil*",
+    "D": "declin* refus* abstain* refrain* withhold* recus* rechaz* abstener* absteng* abstenerme niego negarme negar rehúso rehusar rehusarme déclin* abstien* absten* ablehn* lehne verweiger* enthalt* verzicht*",
+    "d": "pass skip leave avoid quit forgo dodge sidestep",
+    "M": "must have need rather prefer going want ought compelled obliged forced choose wish will debo tengo prefiero dois préfère muss möchte",
+    "t": "turn sit stay step opt bow steer keep stand back shy hold",
+    "u": "down out away aside clear silent back off mum quiet",
+    "R": "guideline* polic* rule rules principle* instruction* terms programming regulation* restriction* constraint* norm* pautas directrices reglas principios política* consigne* règle* directive* principe* politique* richtlinie* regel* vorgabe* grundsätze* anweisung* vorschrift*",
+    "B": "violat* conflict* breach* against contrary break* infring* contraven* forbid* prohibit* prevent* stop* bar bars block* disallow* bann* contra viola* incumpl* impid* prohíb* enfrein* viol* contraire encontre interdi* empêch* verst* widersprech* widersprich* verbiet* untersag* hinder* gegen",
+    "O": "outside beyond off exceed* surpass* fuera excede* supera dépass* hors sort outrepass* außerhalb übersteig* überschreit* jenseits",
+    "P": "scope limits abilit* capabilit* remit role reach area purview competen* expertise permission* powers authority what capacidad* competencia* alcance ámbito funciones compéten* capacité* attribution* rôle cadre domaine ce möglichkeit* befugnis* fähigkeit* kompetenz* zuständigkeit* rahmen aufgabe* dessen",
+    "Q": "question* request* task* topic* matter* subject* this that one answer inquir* pregunta* petición peticiones solicitud* tema eso esto demande* sujet cela ça frage* anfrage* bitte thema das dies* darauf dazu hierzu",
+    "G": "able allowed permitted authorized authorised supposed willing free position liberty qualified entitled comfortable habilité* autorisé* befugt berechtigt autorizad*",
+    "I": "unable impossible forbidden barred prohibited improper inappropriate unwilling lack lacks incapable disallowed restricted imposible prohibid* incapaz interdit* incapable* inapproprié* unmöglich untersagt verboten außerstande verwehrt",
+    "L": "permit* allow* let lets enable* permit* permet* autorise* erlaub* gestatt* lassen lässt",
+    "Z": "assistant* model bot chatbot ai ia asistente modelo assistante modèle ki sprachmodell",
+    "x": "someone others expert* else another somebody otr* alguien autre* quelqu jemand* anderen anderem",
+    "b": "be been ser sido être werden",
+}
+
+#: What a refusing sentence looks like in classes: who, that not, and what not. A dot is any word.
+REFUSING = [
+    r"S.{0,3}[AM].{0,4}N.{0,9}H|S.{0,3}N.{0,3}A.{0,9}H",  # I can not help, je ne peux aider
+    r"F.{0,3}N.{0,8}H|N.{0,4}F.{0,8}[HD]|N.{0,2}S.{0,3}A.{0,6}H",  # no puedo ayudar
+    r"[AH].{0,3}S.{0,6}N.{0,8}H|N.{0,3}H.{0,2}A.{0,2}S",  # kann ich nicht beantworten
+    r"[SF].{0,6}D|D.{0,4}[SQ]",  # I must decline
+    r"S.{0,4}M.{0,4}d(?:.{0,2}Q|.{0,2}$|.{0,9}x)|Q.{0,6}S.{0,3}M.{0,4}d",  # I have to pass on this
+    r"S.{0,5}t.{0,4}u|M.{0,3}d.{0,8}x",  # I will sit this one out
+    r"S.{0,6}I.{0,6}H|I.{0,4}S.{0,6}H|H.{0,6}I.{0,3}S",  # I am barred from answering, impossible for me to answer
+    r"N.{0,3}A.{0,5}S.{0,6}H",  # it is not possible for me to answer
+    r"Q.{0,6}[AF].?N.{0,2}b.{0,3}H|N.{0,2}(?:H.{0,4})?A.{0,2}b.{0,2}H",  # the question can not be answered
+    r"N.{0,2}G.{0,3}H|I.{0,3}G?.{0,2}H",  # not allowed to discuss, unable to help
+    r"B.{0,6}Y.{0,3}R|Y.{0,2}R.{0,5}[NB]|R.{0,3}B.{0,3}S",  # it goes against my rules
+    r"O.{0,6}(?:Y.{0,3}P|P.{0,3}S)|Y.{0,2}P.{0,4}N",  # it is beyond what I may do
+    r"N.{0,3}L.{0,3}S|L.{0,3}S.{0,4}N|N.{0,2}S.{0,3}L",  # the terms do not let me
+    r"Z.{0,12}[NI]",  # as a model I have no ...
+    r"^.?NH.?$",  # no comment
 ]
 
 #: Sentences that may stand beside a refusal without making it an answer.
@@ -79,14 +109,67 @@ _BLOCK = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"(?<!\w)'[^'\n]{1,40}'(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[)\"'»”]*\s+|\n\s*\n")
+_PIECE = re.compile(_SENTENCE.pattern + r"|\n(?=\s*(?:[-*+•]|\d+[.)])\s)")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
 _NAMELIKE = re.compile(r"\S*[_\d/\\=]\S*|\b\w+\.\w+\b")
-_CLOSERS = {")": "(", "]": "[", "}": "{"}
 _NOTHING = frozenset(NOTHING.split("|"))
 
 
-# the cues are read off the patterns: a response without any of them is no refusal
-_CUES = Prefilter(REFUSALS)
+class _Classes(dict):
+    """The classes of a word, as letters behind an underscore; remembered."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.stems: dict[str, set[str]] = {}
+        self.whole: dict[str, set[str]] = {}
+        for letter, listed in WORD_CLASSES.items():
+            for w in listed.split():
+                kept = self.stems if w.endswith("*") else self.whole
+                kept.setdefault(w.rstrip("*"), set()).add(letter)
+        self.longest = max(map(len, self.stems))
+
+    def __missing__(self, word: str) -> str:
+        found = set(self.whole.get(word, ()))
+        for k in range(2, min(len(word), self.longest) + 1):
+            found |= self.stems.get(word[:k], set())
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = value = f"_{''.join(sorted(found))} "
+        return value
+
+
+_CLASSES = _Classes()
+_EXPAND = re.compile(r"\[([A-Za-z]+)\]|([A-Za-z])|(\.)")
+
+
+def _over_words(pattern: str) -> str:
+    """A pattern over classes as one over the letters of a sentence's words."""
+
+    def one(m: re.Match) -> str:
+        letters = m.group(1) or m.group(2)
+        return rf"(?:_\w*[{letters}]\w* )" if letters else r"(?:_\w* )"
+
+    return _EXPAND.sub(one, pattern)
+
+
+#: One automaton of all forms.
+_REFUSING = re.compile("|".join(f"(?:{_over_words(p)})" for p in REFUSING))
+_NEGATED = re.compile(r"\b(ca|wo|could|would|should|do|does|did|is|are|am|was|has|have|must|might|need)n['’]t\b")
+_ELIDED = re.compile(r"\b([cdjlmnst]|qu)['’](?=\w{2})")
+_SHORTENED = re.compile(r"(?<=\w)['’](ll|m|d|ve|re)\b")
+_FULL = {"ll": " will", "m": " am", "d": " would", "ve": " have", "re": " are"}
+
+
+def word_classes(sentence: str) -> str:
+    """The classes of the words of a sentence in lower case."""
+    plain = _NEGATED.sub(r"\1 not ", sentence.replace("cannot", "can not").replace("won't", "will not").replace("can't", "can not"))
+    plain = _ELIDED.sub(r"\1e ", _SHORTENED.sub(lambda m: _FULL[m.group(1)], plain))
+    return "".join(map(_CLASSES.__getitem__, words(plain)))
+
+
+def refuses(sentence: str) -> bool:
+    """A sentence in lower case that declines and does not go on with advice."""
+    return _REFUSING.search(word_classes(sentence)) is not None and not _turns(sentence)
 
 
 class SuffixAutomaton:
@@ -153,8 +236,6 @@ def is_empty(answer: str | None) -> bool:
     """No content: only blanks, mark-up, punctuation or a sign for nothing."""
     if answer is None:
         return True
-    if len(answer) > 4000 and words(answer[:4000]):
-        answer = _TAG.sub(" ", answer)
     bare = _FENCE.sub(" ", _ENTITY.sub(" ", _TAG.sub(" ", _HIDDEN.sub("", answer))))
     found = words(bare)
     return not found or len(found) < 5 and " ".join(found) in _NOTHING
@@ -163,15 +244,12 @@ def is_empty(answer: str | None) -> bool:
 def is_refusal(answer: str) -> bool:
     """It only declines: some sentence refuses, and no other one says anything else."""
     low = answer.lower().replace("’", "'")
-    tried = _CUES.may_match(low)
-    if not tried:
-        return False
     refused = False
-    for part in _SENTENCE.split(low):
+    for part in _PIECE.split(low):
         part = part.strip().rstrip(".!?…)").strip(" *_>-")
         if not part:
             continue
-        if any(p.search(part) for p in tried) and not _turns(part):
+        if refuses(part):
             refused = True
         elif not any(p.search(part) for p in COURTESY):
             return False
@@ -207,10 +285,10 @@ def is_copied(answer: str, question: str | None, title: str | None, share: float
     if sum(marks) < share * len(response):
         return False
     at = 0
-    for part in _SENTENCE.split(_BLOCK.sub(lambda m: m.group() if len(m.group()) > 200 else m.group(), answer)):
+    for part in _SENTENCE.split(answer):
         n = len(words(part))
         own = n - sum(marks[at : at + n])
-        if n > 1 and own > 0.6 * n or n == 1 and own and len(answer) < 200 and not part.strip().startswith(">"):
+        if n > 1 and own > 0.6 * n or n == 1 and own and not part.strip().startswith(">"):
             return False
         at += n
     return True
@@ -254,15 +332,55 @@ def is_other_language(answer: str, question: str | None, title: str | None) -> b
     return top >= 3 * given.get(own, 0) + (1 if top < 3 else 0)
 
 
-def _balanced(text: str) -> bool:
-    """Brackets of the last paragraph, by a stack; emoticons and list marks count as nothing."""
+#: What opens and closes: fences on their own lines, code in a line, brackets, quotes. Emoticons are none of them.
+_DELIMITER = re.compile(
+    r"(?P<fence>^[ \t>]*(?:`{3,}|~{3,})[^\n`]*$)|(?P<gap>\n[ \t>]*\n)|(?P<tick>`+)|(?P<smile>(?<!\w)[:;8=][-']?[()\[\]{}])|(?P<quote>(?<![\w\"])\"(?=\w)|(?<=[\w.!?,;:)])\")|(?P<open>[(\[{“«„])|(?P<close>[)\]}”»])",
+    re.M,
+)
+_PARTNER = {")": "(", "]": "[", "}": "{", "”": "“„", "»": "«", "“": "„"}
+
+
+def open_delimiters(text: str) -> list[str]:
+    """The delimiters still open at the end of ``text``, by one stack over all of it.
+
+    A fence hides what is in it, and so does code in a line. What prose opens
+    and does not close before its paragraph ends is dropped there; closing
+    delimiters without a partner, as those of list marks, count as nothing.
+    """
     stack: list[str] = []
-    for c in text:
-        if c in "([{":
-            stack.append(c)
-        elif c in _CLOSERS and stack and stack[-1] == _CLOSERS[c]:
-            stack.pop()
-    return not stack
+    fence = ""
+    for m in _DELIMITER.finditer(text):
+        kind, mark = m.lastgroup, m.group()
+        if kind == "fence":
+            bar = mark.lstrip(" \t>")
+            run = bar[: len(bar) - len(bar.lstrip(bar[0]))]
+            if not fence:
+                fence, stack = run, []
+            elif bar[0] == fence[0] and len(run) >= len(fence) and not bar[len(run) :].strip():
+                fence = ""
+        elif fence:
+            continue
+        elif kind == "gap":
+            stack.clear()
+        elif kind == "tick":
+            if stack and stack[-1] == mark:
+                stack.pop()
+            elif not (stack and stack[-1][0] == "`"):
+                stack.append(mark)
+        elif stack and stack[-1][0] == "`" or kind == "smile":
+            continue
+        elif kind == "quote" and '"' in stack:
+            del stack[stack.index('"') :]
+        elif kind == "open" and not (mark == "“" and "„" in stack):
+            stack.append(mark)
+        elif kind == "quote":
+            if not text[m.start() - 1 : m.start()].isalnum():
+                stack.append(mark)
+        else:
+            partner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k] in _PARTNER[mark]), None)
+            if partner is not None:
+                del stack[partner:]
+    return [*([fence] if fence else []), *stack]
 
 
 def is_truncated(answer: str) -> bool:
@@ -270,7 +388,8 @@ def is_truncated(answer: str) -> bool:
     text = _HIDDEN.sub("", answer).rstrip()
     if not text:
         return False
-    if len(_FENCE.findall(text)) % 2:
+    still = open_delimiters(text)
+    if still and still[0][:3] in ("```", "~~~"):
         return True
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1].strip()
@@ -287,12 +406,14 @@ def is_truncated(answer: str) -> bool:
         return not re.search(r"[:;8=][-']?[([{]$", last)
     if end in ".!?。！？":
         return False
-    if end in ")]}\"'»”*_" and _balanced(last):
+    if end in ")]}\"'»”*_" and not still:
         inner = last.rstrip(")]}\"'»”*_")
         if end in ")]}" or inner and inner[-1] in ".!?":
             return False
     if re.match(r"(?: {4}|\t)", lines[-1]) and re.search(r"[=()\[\]{}]|^\s*[\d.]+", last):
-        return not _balanced(last)
+        return bool(still)
+    if "(" in still or "[" in still or "{" in still:
+        return True
     return _unfinished(text, lines, last)
 
 

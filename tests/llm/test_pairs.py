@@ -3,7 +3,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import pairs as P
-from tests.llm.test_prefilter import examples
 
 Q = "How can I compute the median of every group without losing the rows where the value is missing? My script uses groupby and then joins the second file on the key."
 T = "How to keep rows with missing values in a group median"
@@ -88,11 +87,3 @@ def test_long_refusals():
     long = "I'm sorry, but I can't help with that. " * 60 + "Thank you for understanding."
     assert len(long) > 2000 and P.defect(long, None, None) == "refusal"
     assert P.defect(long + " Fill the gaps first and group afterwards.", None, None) is None
-
-
-def test_cues_pass_whatever_a_refusal_matches():
-    for p in P.REFUSALS:
-        made = examples(p)
-        assert made
-        for text in made:
-            assert p in P._CUES.may_match(text.lower().replace("’", "'")), (p.pattern, text)
