@@ -1,8 +1,8 @@
 """Template residue and failed pages in a corpus.
 
 Normalised lines are counted by host. Lines that recur over a host are its
-boilerplate and are taken off each record, unless they are evidence themselves
-(a failed page recurs too). What is left is searched for evidence: unfilled
+boilerplate and are taken off each record that has content beside them (a
+failed page recurs too, but has none). What is left is searched for evidence: unfilled
 placeholders, filler, error messages of a site, and notices about scripts,
 cookies or a browser check. Code and sentences of a person who writes about
 such things are no evidence.
@@ -10,7 +10,6 @@ such things are no evidence.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,12 +17,17 @@ from operator import eq
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.words import words
 from millrace.llm.language import ANY_STOPWORD
 from millrace.llm.prefilter import Prefilter
-from millrace.session import spread
+from millrace.session import BROADCAST_BYTES, ROW_BYTES, broadcast_if_small, materialised, spread
+
+#: Words of a line of its own that make a record more than its host's recurrent lines.
+CONTENT_WORDS = 5
 
 KINDS = ("placeholder", "filler", "error", "script_notice")
 
@@ -42,9 +46,6 @@ PLACEHOLDERS = [
     re.compile(r"<<\w[\w .]{0,40}>>"),
     re.compile(r"<\?[^?<>\n]{1,60}\?>"),
     re.compile(r"\((?:your|insert|enter) [\w. ]{1,40} here\)", re.I),
-    re.compile(r"(?:(?<![\w:]):[A-Za-z][\w. ]{1,30}:(?![\w:]).{0,200}?){2}"),
-    re.compile(r"(?:(?<![\w:'\"\])])\[[A-Za-z][\w. ]{1,30}\](?![\w(\[:]).{0,200}?){2}"),
-    re.compile(r"(?:(?<![\w%])%[A-Za-z][\w. ]{1,30}%(?![\w%]).{0,200}?){2}"),
     re.compile(r"<%[=\-]?[^%]{1,80}%>"),
     re.compile(r"[$#]\{[^{}\n]{1,80}\}"),
     re.compile(r"(?<![\w%])%[A-Z][A-Z0-9_]{2,}%(?![\w%])"),
@@ -52,11 +53,19 @@ PLACEHOLDERS = [
     re.compile(r"\[(?:[A-Z]{2,}[A-Z0-9]*(?:[ _-][A-Z0-9]+)+)\]"),
     re.compile(r"\[(?:your|insert|enter|add|type|tu|su|votre|ihr|ihre|dein)\b[^\[\]\n]{1,60}\]", re.I),
     re.compile(r"@@\w[\w .]{0,40}@@"),
-    re.compile(r"(?:(?<![\w$])\$[A-Za-z_][\w. ]{2,30}\$(?![\w$]).{0,200}?){2}"),
-    re.compile(r"(?<!\S)(==|\|\||##|\^|!|#|@)[A-Za-z_][\w. ]{2,30}\1(?!\w).{0,200}?(?<!\S)\1[A-Za-z_][\w. ]{2,30}\1(?!\w)"),
-    re.compile(r"\{\d{1,2}\}.{0,200}?\{\d{1,2}\}"),
-    re.compile(r"(?:(?<![\w'\"/(=$#])\{[A-Za-z_][\w. ]{1,40}\}(?!['\"]).{0,200}?){2}"),
-    re.compile(r"(?:~~\w+(?: \w+)?~~.{0,200}?){2}"),
+    re.compile(r"\b(?:dear|hello|hi|hola|estimad[oa]|cher|chère|bonjour|hallo|liebe[r]?|geehrte[r]?|sincerely|regards|saludos|cordialement|grüße[n]?),? ?(?:\{[A-Za-z_][\w. ]{1,40}\}|\[[A-Za-z][\w. ]{1,40}\]|%[A-Za-z][\w. ]{1,30}%)", re.I),
+    re.compile(r"^(?:[A-Za-z][\w ]{1,30}: ?(?:\{[A-Za-z_][\w. ]{1,40}\}|\[[A-Za-z][\w. ]{1,40}\]|%[A-Za-z][\w. ]{1,30}%)|\{[A-Za-z_][\w. ]{1,40}\}|%[A-Za-z][\w. ]{1,30}%)[.,;!]?$"),
+]
+#: Forms that text may hold once for other reasons: two of one form and sign in a passage are placeholders, wherever they stand in it.
+PAIRED = [
+    re.compile(r"(?<![\w:]):[A-Za-z][\w. ]{1,30}:(?![\w:])"),
+    re.compile(r"(?<![\w:'\"\])])\[[A-Za-z][\w. ]{1,30}\](?![\w(\[:])"),
+    re.compile(r"(?<![\w%])%[A-Za-z][\w. ]{1,30}%(?![\w%])"),
+    re.compile(r"(?<![\w$])\$[A-Za-z_][\w. ]{2,30}\$(?![\w$])"),
+    *(re.compile(rf"(?<!\S){re.escape(sign)}[A-Za-z_][\w. ]{{2,30}}{re.escape(sign)}(?!\w)") for sign in ("==", "||", "##", "^", "!", "#", "@")),
+    re.compile(r"\{\d{1,2}\}"),
+    re.compile(r"(?<![\w'\"/(=$#])\{[A-Za-z_][\w. ]{1,40}\}(?!['\"])"),
+    re.compile(r"~~\w+(?: \w+)?~~"),
 ]
 ANGLE = re.compile(r"<([A-Za-z][A-Za-z0-9]*(?:[_ .-][A-Za-z0-9]+)*)>")
 DUNDER = re.compile(r"(?<!\w)__([A-Za-z][A-Za-z0-9]*(?:[_ .][A-Za-z0-9]+)*)__(?!\w)")
@@ -142,33 +151,27 @@ def _automaton(literals: list[str]) -> ahocorasick.Automaton:
 
 _LATIN_FOUND = _automaton(FILLER_LATIN.split())
 # what no match can lack is read off the patterns, so that only patterns are tried that can match
-_PLACEHOLDERS, _UNFILLED = Prefilter(PLACEHOLDERS), Prefilter([UNFILLED, FIELD_UNFILLED])
+_PLACEHOLDERS, _PAIRED, _UNFILLED = Prefilter(PLACEHOLDERS), Prefilter(PAIRED), Prefilter([UNFILLED, FIELD_UNFILLED])
 _TELLING = Prefilter([*FILLER, *SCRIPT_NOTICE, *ERROR])
 _KIND_OF = {p: kind for kind, ps in (("filler", FILLER), ("script_notice", SCRIPT_NOTICE), ("error", ERROR)) for p in ps}
 
 
-def normal_line(line: Column) -> Column:
-    """A line as it is counted: lower case, digits as 0, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"\s+", " "))
-
-
-#: Longer normalised lines are known by their digest alone, so that none is cut.
-LONG_LINE = 400
+def line_key(line: str) -> int:
+    """A whole line as it is counted: the signed 64-bit hash of its lower case, with digits as 0 and single spaces; 0 for a blank one."""
+    plain = _SPACE.sub(" ", _DIGITS.sub("0", _HIDDEN.sub("", line).lower())).strip()
+    return int.from_bytes(xxhash.xxh64_digest(plain), signed=True) if plain else 0
 
 
-def line_key(line: Column) -> Column:
-    """A normalised line, or the digest of a long one."""
-    return F.when(F.length(line) > LONG_LINE, F.concat(F.lit("md5:"), F.md5(line))).otherwise(line)
-
-
-def _normal(line: str) -> str:
-    line = _SPACE.sub(" ", _DIGITS.sub("0", line.lower())).strip()
-    return f"md5:{hashlib.md5(line.encode()).hexdigest()}" if len(line) > LONG_LINE else line
+def _twice(pattern: re.Pattern, part: str) -> bool:
+    found = pattern.finditer(part)
+    return next(found, None) is not None and next(found, None) is not None
 
 
 def _placeholder(part: str, low: str, english: bool) -> bool:
     if any(p.search(part) for p in _PLACEHOLDERS.may_match(low)):
         return True
+    if any(_twice(p, part) for p in _PAIRED.may_match(low)):
+        return True
     angles = [m.group(1) for m in ANGLE.finditer(part) if m.group(1).lower() not in _TAG_NAMES]
     if len(angles) > 1 or any(a.isupper() and len(a) > 2 or "_" in a or " " in a for a in angles):
         return True
@@ -207,19 +210,30 @@ def _repeats(part: str) -> bool:
 _ENGLISH = frozenset("the is in of and to for with was by are this that you not".split())
 
 
-def evidence(text: str | None, boilerplate: frozenset[str] = frozenset()) -> str | None:
-    """The first kind of residue in ``text``, or nothing; null and empty texts hold none."""
+def _subtracted(text: str, boilerplate: frozenset[int]) -> str:
+    """``text`` without the recurrent lines of its host, if content stands beside them.
+
+    A record of recurrent lines alone is what its host sends instead of
+    content, a failed page for one, and is judged as it is.
+    """
+    lines = text.split("\n")
+    own = [line_key(x) not in boilerplate for x in lines]
+    if all(own) or not any(o and len(words(x)) >= CONTENT_WORDS for o, x in zip(own, lines, strict=True)):
+        return text
+    return "\n".join(x for o, x in zip(own, lines, strict=True) if o)
+
+
+def evidence(text: str | None, boilerplate: frozenset[int] = frozenset()) -> str | None:
+    """The first kind of residue in ``text`` less ``boilerplate``, or nothing; null and empty texts hold none."""
     if not text:
         return None
-    text = _HIDDEN.sub("", text)
-    text = _FENCE.sub("\n\n", text)
+    text = _FENCE.sub("\n\n", _HIDDEN.sub("", text))
+    if boilerplate:
+        text = _subtracted(text, boilerplate)
     text = _INLINE.sub(" ⌷ ", text)
-    paragraphs = _BLANK.split(text)
-    for paragraph in paragraphs:
+    for paragraph in _BLANK.split(text):
         lines = [x for x in paragraph.split("\n") if x.strip()]
-        # a line of its own is evidence or not, whether it recurs or not
-        kept = [x for x in lines if _normal(x) not in boilerplate or _kind(x)] if boilerplate and len(lines) > 1 else lines
-        if kept and (kind := _kind(" \n ".join(kept))):
+        if lines and (kind := _kind(" \n ".join(lines))):
             return kind
     return None
 
@@ -246,18 +260,25 @@ def _kind(paragraph: str) -> str | None:
 
 
 def recurrent_lines(documents: DataFrame, host: str, text: str, share: float, least: int) -> DataFrame:
-    """``(host, boilerplate)``: the normalised lines found in at least ``share`` of a host's records, long ones by digest.
+    """``(host, boilerplate)``: the keys of the lines found in at least ``share`` of a host's records, and in ``least``.
 
     A host has at most ``1 / share`` times its mean number of lines of them,
-    whatever its size. Lines are counted by their hash, with partial counts
-    before the shuffle, so a host with most of the corpus is no hot task.
+    whatever its size. Lines are counted by their hash, first within each
+    batch, so neither lines nor a host with most of the corpus are shuffled.
     """
-    base = documents.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("content"))
-    lines = base.select("host", F.explode(F.array_distinct(F.transform(F.split("content", "\n"), normal_line))).alias("line"))
-    lines = lines.where(F.length("line") > 0)
-    counted = lines.groupBy("host", F.xxhash64("line").alias("hash")).agg(F.count("*").alias("n"), F.min(line_key(F.col("line"))).alias("line"))
-    totals = base.groupBy("host").agg(F.count("*").alias("total"))
-    often = counted.where(F.col("n") >= least).join(totals, counted["host"].eqNullSafe(totals["host"])).where(F.col("n") >= share * F.col("total"))
+    base = documents.where(F.col(text).isNotNull()).select(F.col(host).cast("string").alias("host"), F.col(text).alias("content"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counted: Counter = Counter()
+            for at, content in zip(batch["host"], batch["content"], strict=True):
+                counted.update((at, k) for k in set(map(line_key, content.split("\n"))) if k)
+            yield pd.DataFrame([(h, k, n) for (h, k), n in counted.items()], columns=["host", "line", "n"])
+
+    lines = spread(base).mapInPandas(count, "host string, line bigint, n bigint")
+    counted = lines.groupBy("host", "line").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    totals = broadcast_if_small(base.groupBy("host").agg(F.count("*").alias("total")), "hosts")
+    often = counted.join(totals, counted["host"].eqNullSafe(totals["host"])).where(F.col("n") >= share * F.col("total"))
     return often.groupBy(counted["host"].alias("host")).agg(F.collect_list("line").alias("boilerplate"))
 
 
@@ -270,9 +291,11 @@ def find_residue(
     its own. Null, empty and blank texts are no cases; repeated rows give
     repeated result rows; whole texts are read. Other columns are not read.
     """
-    often = recurrent_lines(documents, host, text, share, least)
+    often = materialised(recurrent_lines(documents, host, text, share, least), "boilerplate")
+    size = often.agg(F.coalesce(F.sum(F.size("boilerplate") * 8 + ROW_BYTES), F.lit(0)).alias("n")).first()["n"]
+    often = F.broadcast(often) if size <= BROADCAST_BYTES else often
     # the key passes through Python as text: pandas would turn whole numbers beside nulls into floats
-    slim = documents.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(text).alias("__text"), F.col(host).alias("__host"))
+    slim = documents.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(text).alias("__text"), F.col(host).cast("string").alias("__host"))
     joined = spread(slim).join(often, slim["__host"].eqNullSafe(often["host"]), "left").select(key, "__text", "boilerplate")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

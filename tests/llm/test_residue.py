@@ -52,7 +52,7 @@ def test_recurrent_evidence_stays_evidence(spark):
     rows = [(k, f"Number {k} of the list\n\nFooter of the site\n\n404 - page not found", "host") for k in range(60)]
     df = docs(spark, rows)
     lines = R.recurrent_lines(df, "source", "text", 0.01, 20).first()["boilerplate"]
-    assert set(lines) == {"number 0 of the list", "footer of the site", "0 - page not found"}
+    assert set(lines) == {R.line_key(x) for x in ("number 0 of the list", "footer of the site", "0 - page not found")}
     assert R.find_residue(df).count() == 60
 
 
@@ -73,7 +73,7 @@ def test_filler_without_a_cue(text):
 
 def test_prefilter_passes_whatever_a_pattern_matches():
     """Texts made from each pattern, all of whose alternatives are taken, are passed on to it."""
-    for found in (R._PLACEHOLDERS, R._UNFILLED, R._TELLING):
+    for found in (R._PLACEHOLDERS, R._PAIRED, R._UNFILLED, R._TELLING):
         for p in found.patterns:
             made = examples(p)
             assert made
@@ -87,7 +87,32 @@ def test_long_recurrent_lines_are_subtracted_whole(spark):
     assert len(footer) > 400
     df = docs(spark, [(k, f"Some words {k}\n{footer}", "host") for k in range(60)])
     lines = frozenset(R.recurrent_lines(df, "source", "text", 0.01, 20).first()["boilerplate"])
-    assert R._normal(footer) in lines and R._normal(footer[:400]) not in lines
-    split = f"You need to enable\n{footer}\nscripts"
+    assert R.line_key(footer) in lines and R.line_key(footer[:400]) not in lines
+    split = f"In this app you need to enable\n{footer}\nscripts"
     assert R.evidence(split.replace(footer + "\n", "")) == "script_notice"
     assert R.evidence(split) is None and R.evidence(split, lines) == "script_notice"
+
+
+def test_recurrent_evidence_beside_content_is_taken_off(spark):
+    """A notice in the frame of every page of a host is boilerplate; a page of nothing else is a failed one."""
+    notice = "Please enable JavaScript to view comment 4."
+    full = [(k, f"The {'abcdefghij'[k % 10] * (k // 10 + 1)} file holds the prices of one region\n\n{notice}", "host") for k in range(60)]
+    df = docs(spark, [*full, (100, notice, "host"), (101, notice, "other"), (102, f"Some genuine words about one more file\n\n{notice}", "other")])
+    assert {r["doc_id"] for r in R.find_residue(df).collect()} == {100, 101, 102}
+
+
+@pytest.mark.parametrize("form", [":PLACE:", "[Customer Name]", "%title%", "$amount$", "==name==", "{0}", "{column}", "~~name~~"])
+def test_paired_placeholders_far_apart(form):
+    far = f"It is {form} here " + "and some more words follow " * 40 + f"until {form} comes again"
+    assert R.evidence(far) == "placeholder"
+    assert R.evidence(far[:100]) is None
+
+
+@pytest.mark.parametrize("text", ["Dear {name}, your order is ready.", "Hello [Customer Name]!", "Title: %title%", "{summary}", "Author: [Author Name]"])
+def test_single_placeholders_in_a_field(text):
+    assert R.evidence(text) == "placeholder"
+
+
+@pytest.mark.parametrize("text", ["[Solved]", "The set {x} is closed.", "Sort by [Order Date] first.", "It rose by 5% and fell by 3% later."])
+def test_single_forms_in_prose_are_none(text):
+    assert R.evidence(text) is None
