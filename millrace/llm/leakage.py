@@ -1,15 +1,20 @@
 """Held-out test items in a corpus: SimHash windows, multi-index blocks, exact check.
 
-A passage is a window of ``span`` words. Its fingerprint is the SimHash of its
-word shingles, weighted by their length. Every passage of every test item is
-fingerprinted once; the fingerprints are indexed by each of ``radius + 1``
-blocks of their bits, so that any corpus window within the radius shares a
-block with its item (by the pigeonhole principle) and none is missed.
-Candidates are verified by the weighted share of equal shingles and, for whole
-passages, by the words themselves.
-
-The corpus is read once and never shuffled. The test items are a stated query
-set: they are taken in blocks of bounded size, each against all rows.
+A window of ``anchor`` words has as fingerprint the SimHash of its word
+shingles, weighted by their length. Every window of every item is
+fingerprinted once and indexed by each of ``radius + 1`` blocks of its bits, so
+that any corpus window within the radius shares a block with its item (by the
+pigeonhole principle) and none is missed. Candidates are verified: by equal
+runs of ``span`` words, and by the weighted multiset of the shingles that the
+item and an item-sized window of the document have in common.
+
+No copy of at least 0.8 is lost. If an item has m shingles of five words and L
+of them are lost, each place of a change costs four at least, so the others
+stand in at most L / 4 + 1 runs. With L <= 0.2 m the longest run has five
+shingles or more, nine words, whatever m is from 8 on; it holds a whole anchor.
+
+The corpus is never shuffled. The items are a stated query set: they are taken
+in blocks whose index has a bounded size, each against all rows.
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ from pyspark.sql import functions as F
 from millrace.functions.words import words
 from millrace.session import spread
 
-#: Bytes of item text in one block; the driver and each worker hold one block.
-ITEM_BLOCK_BYTES = 32 << 20
+#: Bytes of the index of one block of items; the driver builds one at a time, and each worker holds one.
+INDEX_BYTES = 128 << 20
 
-#: Windows worked on at once in a worker: bounds its memory for texts of any length.
+#: Bytes of the index for a word of an item, and the least that a word takes in its text.
+WORD_BYTES, TEXT_BYTES = 96, 2
+
+#: Words worked on at once in a worker: bounds its memory for texts of any length.
 CHUNK_WORDS = 1 << 16
 
 
@@ -90,50 +98,59 @@ def _simhash(shingle: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """Passages of a block of test items, indexed by the blocks of their fingerprints."""
+    """Windows of a block of test items, indexed by the blocks of their fingerprints."""
 
-    span: int
+    anchor: int
     size: int
     radius: int
-    fingerprint: np.ndarray
+    ids: list[int]
+    first: np.ndarray
+    word: np.ndarray
     shingle: np.ndarray
     weight: np.ndarray
-    text: list[str]
+    fingerprint: np.ndarray
+    at: np.ndarray
     item: np.ndarray
     blocks: list[tuple[int, int, np.ndarray, np.ndarray]]
 
     @classmethod
-    def build(cls, items: list[tuple[int, str | None]], span: int, size: int, radius: int) -> ItemIndex:
-        hashed, width = _WordHash(), span - size + 1
-        fingerprint, shingle, weight, text, item = [], [], [], [], []
+    def build(cls, items: list[tuple[int, str | None]], anchor: int, size: int, radius: int) -> ItemIndex:
+        hashed, width = _WordHash(), anchor - size + 1
+        ids, first, word, shingle, weight, prints, at, item = [], [0], [], [], [], [], [], []
         for item_id, content in items:
             w = words(content)
-            if len(w) < span:
+            if len(w) < anchor:
                 continue
             h = np.fromiter((hashed[x] for x in w), np.uint64, len(w))
             s, g = _shingles(h, np.fromiter(map(len, w), np.int64, len(w)), size)
-            fingerprint.append(_simhash(s, g, width))
-            shingle.append(np.lib.stride_tricks.sliding_window_view(s, width))
-            weight.append(np.lib.stride_tricks.sliding_window_view(g, width))
-            text += [" ".join(w[k : k + span]) for k in range(len(w) - span + 1)]
-            item += [item_id] * (len(w) - span + 1)
-        empty = not fingerprint
-        prints = np.empty(0, np.uint64) if empty else np.concatenate(fingerprint)
-        blocks, parts = [], radius + 1
+            word.append(h)
+            shingle.append(s)
+            weight.append(g)
+            prints.append(_simhash(s, g, width))
+            at.append(first[-1] + np.arange(len(w) - anchor + 1))
+            item.append(np.full(len(w) - anchor + 1, len(ids)))
+            ids.append(item_id)
+            first.append(first[-1] + len(w))
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        found, blocks, parts = joined(prints, np.uint64), [], radius + 1
         for k in range(parts):
             low, high = 64 * k // parts, 64 * (k + 1) // parts
-            value = (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-            order = np.argsort(value, kind="stable")
+            value = (found >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+            order = np.argsort(value, kind="stable").astype(np.int32)
             blocks.append((low, high - low, value[order], order))
+        # shingles stand at the place of their first word; the last places of an item hold none
+        pad = lambda parts, kind: joined([np.concatenate([x, np.zeros(size - 1, kind)]) for x in parts], kind)
         return cls(
-            span, size, radius, prints,
-            np.empty((0, width), np.uint64) if empty else np.concatenate(shingle),
-            np.empty((0, width), np.int8) if empty else np.concatenate(weight),
-            text, np.array(item, np.int64), blocks,
+            anchor, size, radius, ids, np.array(first), joined(word, np.uint64), pad(shingle, np.uint64), pad(weight, np.int8), found,
+            joined(at, np.int64).astype(np.int32), joined(item, np.int64).astype(np.int32), blocks,
         )
 
+    @property
+    def longest(self) -> int:
+        return int(np.diff(self.first).max(initial=0))
+
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of a corpus window and an item passage within the radius."""
+        """All pairs of a corpus window and an item window within the radius."""
         windows, passages = [], []
         for low, width, keys, order in self.blocks:
             value = (prints >> np.uint64(low)) & np.uint64((1 << width) - 1)
@@ -154,44 +171,86 @@ class ItemIndex:
         pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(passages)]), axis=1)
         return pairs[0], pairs[1]
 
-
-def _scan(index: ItemIndex, ids: list, texts: list[str | None], hashed: _WordHash) -> dict:
-    """Per (document, item): exact passages and the best similarity of any."""
+    def similarity(self, item: int, shingle: np.ndarray) -> float:
+        """The greatest weighted share of the item's shingles that an item-sized window of ``shingle`` holds, each as often as it occurs in both."""
+        low, high = int(self.first[item]), int(self.first[item + 1]) - self.size + 1
+        own, weight = self.shingle[low:high], self.weight[low:high].astype(np.int64)
+        total = int(weight.sum())
+        value, start, count = np.unique(own, return_index=True, return_counts=True)
+        at = np.minimum(np.searchsorted(value, shingle), len(value) - 1)
+        known = value[at] == shingle
+        gain = np.where(known, weight[start[at]], 0)
+        width = min(len(own), len(shingle))
+        upto = np.concatenate([[0], np.cumsum(gain)])
+        bound = upto[width:] - upto[:-width]
+        best = 0
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] <= best:
+                break
+            seen, n = np.unique(at[k : k + width][known[k : k + width]], return_counts=True)
+            best = max(best, int((weight[start[seen]] * np.minimum(n, count[seen])).sum()))
+        return best / total
+
+
+def _equal_runs(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n: int) -> np.ndarray:
+    """Whether the ``n`` words from ``at`` of ``a`` and from ``to`` of ``b`` are equal and end before the given places."""
+    ok = (at + n <= last_a) & (to + n <= last_b)
+    for k in range(n):
+        rows = np.nonzero(ok)[0]
+        ok[rows] = a[at[rows] + k] == b[to[rows] + k]
+    return ok
+
+
+def _scan(index: ItemIndex, ids: list, texts: list[str | None], hashed: _WordHash, span: int) -> dict:
+    """Per (document, item): exact passages and the best similarity of any item-sized window."""
     found: dict[tuple, list] = {}
     tokens: list[str] = []
-    owner: list[int] = []
-    width = index.span - index.size + 1
+    #: for each part of a document: its place among the tokens, where its last own window starts, and the document
+    parts: list[tuple[int, int, int, int]] = []
+    width, overlap = index.anchor - index.size + 1, max(index.longest, span) * 2
+    chunk = max(CHUNK_WORDS, 4 * overlap)
 
     def flush() -> None:
         n = len(tokens)
-        if n >= index.span:
-            h = np.fromiter((hashed[x] for x in tokens), np.uint64, n)
-            own = np.array(owner)
-            s, g = _shingles(h, np.fromiter(map(len, tokens), np.int64, n), index.size)
-            prints = _simhash(s, g, width)
-            whole = np.nonzero(own[: n - index.span + 1] == own[index.span - 1 :])[0]
-            window, passage = index.candidates(prints[whole])
-            for w, p in zip(whole[window].tolist(), passage.tolist(), strict=True):
-                weight = index.weight[p]
-                same = float(weight[s[w : w + width] == index.shingle[p]].sum()) / float(weight.sum())
-                exact = same == 1.0 and " ".join(tokens[w : w + index.span]) == index.text[p]
-                entry = found.setdefault((ids[own[w]], int(index.item[p])), [0, 0.0])
-                entry[0] += exact
-                entry[1] = max(entry[1], same)
+        if n < index.anchor or not index.ids:
+            return
+        h = np.fromiter((hashed[x] for x in tokens), np.uint64, n)
+        s, g = _shingles(h, np.fromiter(map(len, tokens), np.int64, n), index.size)
+        prints = _simhash(s, g, width)
+        begin, end, core, doc = (np.array(x) for x in zip(*parts, strict=True))
+        own = np.repeat(np.arange(len(parts)), end - begin)
+        whole = np.nonzero(own[: n - index.anchor + 1] == own[index.anchor - 1 :])[0]
+        window, passage = index.candidates(prints[whole])
+        window, place, item = whole[window], index.at[passage].astype(np.int64), index.item[passage]
+        exact = _equal_runs(h, index.word, window, place, end[own[window]], index.first[item + 1], span) & (window < core[own[window]])
+        seen: dict[tuple[int, int], list[int]] = {}
+        for w, i, e in zip(window.tolist(), item.tolist(), exact.tolist(), strict=True):
+            entry = seen.setdefault((int(own[w]), i), [w, w, 0])
+            entry[0], entry[1], entry[2] = min(entry[0], w), max(entry[1], w), entry[2] + e
+        for (part, i), (first, last, passages) in seen.items():
+            size = int(index.first[i + 1] - index.first[i])
+            low, high = max(int(begin[part]), first - size), min(int(end[part]), last + index.anchor + size)
+            entry = found.setdefault((ids[doc[part]], index.ids[i]), [0, 0.0])
+            entry[0] += passages
+            entry[1] = max(entry[1], index.similarity(i, s[low : high - index.size + 1]))
 
     for k, text in enumerate(texts):
         w = words(text)
-        if len(w) < index.span:
+        if len(w) < index.anchor:
             continue
         start = 0
-        while start + index.span <= len(w):
-            part = w[start : start + CHUNK_WORDS]
+        while True:
+            part = w[start : start + chunk]
+            final = start + len(part) >= len(w)
+            at = len(tokens)
             tokens += part
-            owner += [k] * len(part)
-            start += max(1, len(part) - index.span + 1)
-            if len(tokens) >= CHUNK_WORDS:
+            parts.append((at, at + len(part), at + len(part) - (0 if final else overlap), k))
+            if len(tokens) >= chunk:
                 flush()
-                tokens, owner = [], []
+                tokens, parts = [], []
+            if final:
+                break
+            start += len(part) - overlap
     flush()
     return found
 
@@ -205,38 +264,39 @@ def find_leaks(
     item_text: str = "text",
     span: int = 12,
     shingle: int = 5,
-    radius: int = 3,
+    anchor: int = 8,
+    radius: int = 1,
     similarity: float = 0.8,
 ) -> DataFrame:
     """``(doc_key, item_key, passages, similarity)`` of documents that hold test passages.
 
     ``passages`` counts pairs of a window of ``span`` words of the document
     and an equal window of the item; ``similarity`` is the best weighted share
-    of equal shingles of any window within the radius. Pairs without an equal
-    window are kept from ``similarity`` up. Whole texts are read, whatever
-    their length. Null, empty and short texts match nothing; a null item key
-    is skipped; repeated document rows give repeated result rows. Other
-    columns are not read.
+    of the item's shingles that a window of the item's size holds, by
+    multiplicity. Pairs without an equal window are kept from ``similarity``
+    up. Whole texts are read, whatever their length. Null, empty and short
+    texts match nothing; a null item key is skipped; repeated document rows
+    give repeated result rows. Other columns are not read.
     """
-    if not 0 < shingle <= span:
-        raise ValueError("a shingle has between one word and as many as the span")
+    if not 0 < shingle <= anchor <= span:
+        raise ValueError("a shingle has between one word and as many as the anchor, and an anchor as many as the span at most")
     spark = documents.sparkSession
     items = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("content"))
     items = items.where("item is not null and content is not null").distinct()
+    # a block's index has INDEX_BYTES on average, by the least size of its words' text
     size = items.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).first()["n"]
-    n_blocks = max(1, -(-size // ITEM_BLOCK_BYTES))
+    n_blocks = max(1, -(-size * WORD_BYTES // TEXT_BYTES // INDEX_BYTES))
     # the key passes through Python as text: pandas would turn whole numbers beside nulls into floats
     slim = documents.select(F.col(doc_key).cast("string").alias(doc_key), doc_text)
     result = None
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).orderBy("item", "content").collect()
-        index = ItemIndex.build([(r["item"], r["content"]) for r in block], span, shingle, radius)
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(ItemIndex.build([(r["item"], r["content"]) for r in block], anchor, shingle, radius))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index, hashed = shared.value, _WordHash()
             for batch in batches:
-                found = _scan(index, batch[doc_key].tolist(), batch[doc_text].tolist(), hashed)
+                found = _scan(index, batch[doc_key].tolist(), batch[doc_text].tolist(), hashed, span)
                 kept = [(*k, *v) for k, v in found.items() if v[0] or v[1] >= similarity]
                 yield pd.DataFrame(kept, columns=[doc_key, item_key, "passages", "similarity"])
 

@@ -74,6 +74,12 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.sum("passages").alias("passages"))
 
 
+def p8_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of which a document holds at least 0.8, by weighted shingles, in one window of the item's size."""
+    found = leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "test_items")).where("similarity >= 0.8")
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -88,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_defects_by_tag, p2_found, p2_clusters, p3_found, p3_classes, p6_varied_subset,
-            p7_ids, p7_decoded, p8_found, p8_items, p9_found, p9_clean_counts,
+            p7_ids, p7_decoded, p8_found, p8_items, p8_near, p9_found, p9_clean_counts,
         )
     }
 
