@@ -20,19 +20,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.words import words_column
-from millrace.session import materialised
+from millrace.session import broadcast_if_small, materialised
 
-#: Classes whose words are counted to order words by rarity and to foresee hot
-#: shards. The order may be any; the sample only makes shards small and even.
-SAMPLE_CLASSES = 8000
+#: Words whose exact frequency every task knows, at most: 16 MB. The rarer others count as equally rare.
+KNOWN_WORDS = 1 << 20
 
 #: Rows of one shard in one task; beyond it a shard is split into blocks, and
 #: each pair of blocks is a task of its own.
@@ -45,38 +45,58 @@ LEAF = 48
 _ONE = np.uint64(1)
 
 
+def _class_hash(content: Column, salt: int) -> Column:
+    return F.xxhash64(content, F.lit(salt))
+
+
 def classes_of(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``(members, classes)``: keys with the class of their text, and each class once.
 
-    A class is the multiset of words, by a 64-bit hash of the sorted words
-    (two of n classes coincide with a probability below n * n / 2**65).
+    A class is the multiset of words, named by a 64-bit hash of the sorted
+    words. A second hash tells different texts of one name; the few names
+    that have some are hashed anew, so two classes are one only if 128 bits
+    coincide.
     """
     worded = records.select(F.col(key).alias("id"), F.array_join(F.array_sort(words_column(F.col(text).cast("string"))), " ").alias("content"))
-    worded = worded.where("id is not null and content <> ''").withColumn("class", F.xxhash64("content"))
-    members = worded.select("class", "id").distinct()
-    classes = worded.groupBy("class").agg(F.first("content").alias("content"))
-    return members, classes
+    worded = worded.where("id is not null and content <> ''").withColumn("class", _class_hash(F.col("content"), 0))
+    for salt in count(1):
+        second = F.xxhash64("content")
+        classes = worded.groupBy("class").agg(F.first("content").alias("content"), F.min(second).alias("low"), F.max(second).alias("high"))
+        classes = materialised(classes, "neardup-classes")
+        # of n texts some n * n / 2**65 share a name
+        shared = [r["class"] for r in classes.where("low <> high").select("class").collect()]
+        if not shared:
+            return worded.select("class", "id").distinct(), classes.select("class", "content")
+        worded = worded.withColumn("class", F.when(F.col("class").isin(shared), _class_hash(F.col("content"), salt)).otherwise(F.col("class")))
 
 
 def _word_counts(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and counts of the words that are in more than one class of a bounded sample."""
-    total = classes.count()
-    every = max(1, -(-total // SAMPLE_CLASSES))
-    sample = classes.where(F.pmod("class", F.lit(every)) == 0)
-    counted = (
-        sample.select(F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
-        .groupBy("word").agg(F.count("*").alias("n")).where("n > 1").toPandas()
-    )
-    hashed = np.array([xxhash.xxh64_intdigest(w) for w in counted["word"]], np.uint64)
+    """Hashes and exact counts of the ``KNOWN_WORDS`` most frequent words at most, and the count from which on all are known.
+
+    Counts are of classes that have the word. With t words in all classes,
+    those of at least t / ``KNOWN_WORDS`` are sure to be known.
+    """
+    word = F.explode(F.array_distinct(F.split("content", " "))).alias("word")
+    counted = materialised(classes.select(word).groupBy(F.xxhash64("word").alias("word")).agg(F.count("*").alias("n")).where("n > 1"), "neardup-words")
+    by_size = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("words")).collect()
+    least, total = 2, 0
+    for r in sorted(by_size, key=lambda r: -r["size"]):
+        total += r["words"]
+        if total > KNOWN_WORDS:
+            least = 2 ** (r["size"] + 1)
+            break
+    known = counted.where(F.col("n") >= least).toPandas()
+    hashed = known["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashed)
-    return hashed[order], counted["n"].to_numpy(np.int64)[order], every
+    return hashed[order], known["n"].to_numpy(np.int64)[order], least
 
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
+        # as the JVM hashes a text
+        self[word] = value = xxhash.xxh64_intdigest(word, seed=42)
         return value
 
 
@@ -204,18 +224,39 @@ def _shard_pairs(frame: pd.DataFrame, likeness: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def _in_blocks(placed: DataFrame, most: int, least: int) -> DataFrame:
+    """``placed`` with ``block`` and ``side``: shards of more than ``SHARD_ROWS`` rows are split into blocks, each pair of which is a cell.
+
+    A shard has no more rows than classes have its word, so only those of
+    frequent words are counted, and all if words of unknown frequency may be
+    that frequent. Pairs of blocks (i, j) with i < j are negative.
+    """
+    whole = placed.withColumn("block", F.lit(0).cast("bigint")).withColumn("side", F.lit(0).cast("byte")).drop("often")
+    if max(most, least - 1) <= SHARD_ROWS:
+        return whole
+    placed = materialised(placed, "neardup-placed")
+    counted = placed.where((F.col("often") > SHARD_ROWS) | F.lit(least - 1 > SHARD_ROWS) & (F.col("often") == 0)).groupBy("shard").agg(F.count("*").alias("rows"))
+    hot = broadcast_if_small(counted.where(F.col("rows") > SHARD_ROWS).select("shard", F.ceil(F.col("rows") / SHARD_ROWS).cast("int").alias("blocks")), "neardup-hot")
+    own, other, blocks = F.pmod("class", "blocks").cast("int"), F.col("other"), F.coalesce("blocks", F.lit(1))
+    spread = placed.join(hot, "shard", "left").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = 1 + F.least(own, other).cast("bigint") * F.col("blocks") + F.greatest(own, other)
+    block = F.when(F.col("blocks").isNull(), 0).when(own == other, cell).otherwise(-cell)
+    side = F.when(F.col("blocks").isNull(), 0).otherwise((own > other).cast("int")).cast("byte")
+    return spread.select("shard", block.cast("bigint").alias("block"), side.alias("side"), "class", "n", "f1", "f2")
+
+
 def similar_classes(classes: DataFrame, likeness: float = 0.8) -> DataFrame:
     """``(a, b, likeness)`` of the different classes that are alike enough, ``a < b``."""
     spark = classes.sparkSession
-    known, counts, every = _word_counts(classes)
+    known, counts, least = _word_counts(classes)
     shared = spark.sparkContext.broadcast((known, counts))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = shared.value
         hashed = _Hashes()
-        columns = ["shard", "block", "side", "class", "n", "f1", "f2"]
+        columns = ["shard", "often", "class", "n", "f1", "f2"]
         for batch in batches:
-            shard, block, side, cls, n, f1, f2 = ([] for _ in columns)
+            shard, seen, cls, n, f1, f2 = ([] for _ in columns)
             for c, content in zip(batch["class"].tolist(), batch["content"], strict=True):
                 word, element = _elements(content, hashed)
                 size = len(word)
@@ -224,25 +265,16 @@ def similar_classes(classes: DataFrame, likeness: float = 0.8) -> DataFrame:
                 often = np.where(known[at] == word, counts[at], 0) if len(known) else np.zeros(size, np.int64)
                 rare = np.lexsort((element, often))[: size - math.ceil(likeness * size - 1e-9) + 1]
                 p1, p2 = _fingerprint(element)
-                for e, k in zip(element[rare].view(np.int64).tolist(), often[rare].tolist(), strict=True):
-                    blocks = -(-k * every // SHARD_ROWS)
-                    if blocks < 2:
-                        places = [(0, 0)]
-                    else:
-                        own = c % blocks
-                        # pair of blocks (i, j) with i <= j; negative where they differ
-                        places = [((1 + own * blocks + own), 0)] + [(-(1 + min(own, j) * blocks + max(own, j)), int(own > j)) for j in range(blocks) if j != own]
-                    for b, s in places:
-                        shard.append(e)
-                        block.append(b)
-                        side.append(s)
-                        cls.append(c)
-                        n.append(size)
-                        f1.append(p1)
-                        f2.append(p2)
-            yield pd.DataFrame(dict(zip(columns, (shard, block, side, cls, n, f1, f2), strict=True)))
-
-    placed = classes.select("class", "content").mapInPandas(place, "shard long, block int, side byte, class long, n int, f1 long, f2 long")
+                shard += element[rare].view(np.int64).tolist()
+                seen += often[rare].tolist()
+                cls += [c] * len(rare)
+                n += [size] * len(rare)
+                f1 += [p1] * len(rare)
+                f2 += [p2] * len(rare)
+            yield pd.DataFrame(dict(zip(columns, (shard, seen, cls, n, f1, f2), strict=True)))
+
+    placed = classes.select("class", "content").mapInPandas(place, "shard long, often long, class long, n int, f1 long, f2 long")
+    placed = _in_blocks(placed, max(counts, default=0), least)
     placed = placed.repartition("shard", "block").sortWithinPartitions("shard", "block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +326,6 @@ def near_duplicates(records: DataFrame, key: str = "id", text: str = "question",
     if not 0.5 < likeness <= 1:
         raise ValueError("the likeness lies above 0.5, up to 1")
     members, classes = classes_of(records, key, text)
-    classes = materialised(classes, "neardup-classes")
     return members, similar_classes(classes, likeness)
 
 

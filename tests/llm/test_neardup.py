@@ -76,3 +76,30 @@ def test_empty_and_limits(spark):
     assert found(spark, [(1, "x " * 50_000), (2, "x " * 49_000)]) == {(1, 2)}
     with pytest.raises(ValueError):
         found(spark, [], likeness=0.3)
+
+
+@pytest.mark.parametrize("known", [1 << 20, 8, 0])
+def test_shards_of_words_of_unknown_frequency_are_split(spark, monkeypatch, known):
+    """Exact counts, and exact shard sizes where frequencies are not all known: no word is too frequent for a shard."""
+    monkeypatch.setattr(N, "SHARD_ROWS", 10)
+    monkeypatch.setattr(N, "KNOWN_WORDS", known)
+    rng = random.Random(5)
+    rows = [(k, "common " + " ".join(f"x{rng.randrange(40)}" for _ in range(rng.randint(1, 6)))) for k in range(120)]
+    assert found(spark, rows) == brute(rows)
+    classes = N.classes_of(spark.createDataFrame(rows, "id long, question string"), "id", "question")[1]
+    words_, counts, least = N._word_counts(classes)
+    df = Counter(w for r in classes.collect() for w in set(r["content"].split()))
+    assert sorted(counts.tolist()) == sorted(n for n in df.values() if n >= least) and len(counts) <= known
+
+
+def test_python_hashes_words_as_the_jvm(spark):
+    w = ["a", "groß", "日本", "x" * 100]
+    got = [r["h"] for r in spark.createDataFrame([(x,) for x in w], "w string").selectExpr("xxhash64(w) as h").collect()]
+    assert [int(np.uint64(N._Hashes()[x]).view(np.int64)) for x in w] == got
+
+
+def test_texts_whose_names_coincide_are_told_apart(spark, monkeypatch):
+    plain = N._class_hash
+    monkeypatch.setattr(N, "_class_hash", lambda c, salt: plain(c, salt) % 3 if salt < 2 else plain(c, salt))
+    rows = [(k, f"some words of text number{k // 2} and few{k // 2} more") for k in range(12)]
+    assert found(spark, rows) == brute(rows)
