@@ -3,10 +3,12 @@
 Records with the same set of skills are one candidate, so a large group of
 similar records weighs no more than a small one. The distance of two
 candidates is one minus the weighted share of common skills. Each partition
-keeps a core-set by farthest-point selection, which is composable: a core-set
-of joined core-sets is one of the joined partitions, so a partition is read as
-a stream in bounded memory. The core-sets meet in one task, where selected and
-unselected candidates are swapped while the total pairwise distance grows.
+keeps the local optimum of its candidates as core-set: selected and unselected
+candidates are swapped while the total pairwise distance grows. Local optima
+are composable for this total: the best subset of all core-sets is within a
+constant factor of that of all candidates. A partition is read as a stream in
+bounded memory, and core-sets are joined in a tree of rounds, ``FAN_IN`` of
+them a task, until one is left.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Core-sets that meet in the last task: it gets at most this many times the size asked for.
-CORE_SETS = 32
+from millrace.session import materialised
 
-#: Candidates compared at once with a core-set: bounds the matrix of distances of a task.
-STREAM_ROWS = 2000
+#: Core-sets that meet in one task of a later round.
+FAN_IN = 8
+
+#: Candidates read at once into a core-set, and distances a task holds at most (4 bytes each); beyond them they are computed again for each swap.
+STREAM_ROWS, HELD_DISTANCES = 2000, 1 << 26
 
 #: Weight of a skill without a positive one, as a share of the smallest positive weight.
 FLOOR = 0.5
@@ -38,56 +42,81 @@ def weights_of(skills: DataFrame, key: str = "id", weight: str = "weight") -> di
     return {r["k"]: r["w"] if r["w"] and r["w"] > 0 else FLOOR * least for r in rows}
 
 
-def _distances(sets: list[tuple[str, ...]], weights: dict[str, float]) -> np.ndarray:
-    names = sorted({s for x in sets for s in x})
-    at = {s: k for k, s in enumerate(names)}
-    w = np.array([weights[s] for s in names])
-    m = np.zeros((len(sets), len(names)))
-    for k, x in enumerate(sets):
-        m[k, [at[s] for s in x]] = 1
-    common = (m * w) @ m.T
-    own = np.diag(common)
-    return 1 - common / np.maximum(own[:, None] + own[None, :] - common, 1e-300)
-
-
-def farthest(sets: list[tuple[str, ...]], weights: dict[str, float], size: int) -> list[int]:
-    """A core-set: the heaviest set, then again and again the one farthest from those chosen."""
-    if len(sets) <= size:
-        return list(range(len(sets)))
-    heavy = np.array([sum(weights[s] for s in x) for x in sets])
-    d = _distances(sets, weights)
-    chosen = [int(np.lexsort((np.arange(len(sets)), -heavy))[0])]
-    near, total = d[chosen[0]].copy(), d[chosen[0]].copy()
+class _Candidates:
+    """Candidates as rows of skills, for distances from all to some of them."""
+
+    def __init__(self, sets: list[tuple[str, ...]], weights: dict[str, float]):
+        at = {s: k for k, s in enumerate(sorted({s for x in sets for s in x}))}
+        self.w = np.array([weights[s] for s in at], np.float32)
+        self.m = np.zeros((len(sets), len(at)), np.float32)
+        for k, x in enumerate(sets):
+            self.m[k, [at[s] for s in x]] = 1
+        self.own = self.m @ self.w
+
+    def distance(self, rows, to) -> np.ndarray:
+        common = (self.m[rows] * self.w) @ self.m[to].T
+        return 1 - common / np.maximum(self.own[rows][:, None] + self.own[to][None, :] - common, np.float32(1e-30))
+
+
+def farthest(c: _Candidates, size: int) -> list[int]:
+    """The heaviest candidate, then again and again the one farthest from those chosen."""
+    n = len(c.m)
+    if n <= size:
+        return list(range(n))
+    every = np.arange(n)
+    chosen = [int(np.lexsort((every, -c.own))[0])]
+    near = c.distance(every, chosen)[:, 0]
+    total = near.astype(np.float64)
     while len(chosen) < size:
         near[chosen] = -1
-        best = int(np.lexsort((np.arange(len(sets)), -heavy, -total, -near))[0])
+        best = int(np.lexsort((every, -c.own, -total, -near))[0])
         chosen.append(best)
-        near = np.minimum(near, d[best])
-        total += d[best]
+        d = c.distance(every, [best])[:, 0]
+        near = np.minimum(near, d)
+        total += d
     return chosen
 
 
-def disperse(sets: list[tuple[str, ...]], weights: dict[str, float], size: int, gain: float = 1e-9) -> list[int]:
-    """``size`` of the sets, such that no single swap raises their total pairwise distance."""
-    if len(sets) <= size:
-        return list(range(len(sets)))
-    d = _distances(sets, weights)
-    chosen = np.zeros(len(sets), bool)
-    chosen[farthest(sets, weights, size)] = True
-    to = d[:, chosen].sum(axis=1)
+def disperse(sets: list[tuple[str, ...]], weights: dict[str, float], size: int, gain: float = 1e-4) -> list[int]:
+    """``size`` of the sets, such that no single swap raises their total pairwise distance by more than ``gain``."""
+    n = len(sets)
+    if n <= size:
+        return list(range(n))
+    c = _Candidates(sets, weights)
+    chosen = np.array(farthest(c, size))
+    block = max(1, HELD_DISTANCES // size)
+    starts = range(0, n, block)
+    kept = {at: c.distance(slice(at, at + block), chosen) for at in starts} if n <= block else {}
+    to = np.concatenate([(kept[at] if kept else c.distance(slice(at, at + block), chosen)).sum(axis=1, dtype=np.float64) for at in starts])
     while True:
-        out, into = np.nonzero(chosen)[0], np.nonzero(~chosen)[0]
-        gains = to[into][:, None] - d[np.ix_(into, out)] - to[out][None, :]
-        k = int(np.argmax(gains))
-        j, i = int(into[k // len(out)]), int(out[k % len(out)])
-        if gains.flat[k] <= gain:
-            return [int(x) for x in np.nonzero(chosen)[0]]
-        chosen[i], chosen[j] = False, True
-        to += d[j] - d[i]
+        free = np.ones(n, bool)
+        free[chosen] = False
+        best = (gain, 0, 0)
+        for at in starts:
+            d = kept[at] if kept else c.distance(slice(at, at + block), chosen)
+            gains = to[at : at + block, None] - d - to[chosen][None, :]
+            gains[~free[at : at + block]] = -1
+            k = int(np.argmax(gains))
+            if gains.flat[k] > best[0]:
+                best = (float(gains.flat[k]), at + k // size, k % size)
+        if best[0] <= gain:
+            return sorted(chosen.tolist())
+        _, new, place = best
+        fresh = c.distance(slice(0, n), [new])[:, 0]
+        to += fresh.astype(np.float64) - c.distance(slice(0, n), [int(chosen[place])])[:, 0]
+        chosen[place] = new
+        for at in kept:
+            kept[at][:, place] = fresh[at : at + block]
+
+
+def total_distance(sets: list[tuple[str, ...]], weights: dict[str, float]) -> float:
+    """The total pairwise distance of the sets."""
+    c = _Candidates(sets, weights)
+    return float(sum(c.distance([k], slice(k + 1, None)).sum(dtype=np.float64) for k in range(len(sets))))
 
 
 def varied_subset(
-    records: DataFrame, weights: dict[str, float], size: int, key: str = "step_id", skills: str = "skills", core_sets: int = CORE_SETS
+    records: DataFrame, weights: dict[str, float], size: int, key: str = "step_id", skills: str = "skills", partitions: int | None = None
 ) -> DataFrame:
     """``(rank, key, skills, records, new_weight)``: a subset of ``size`` records.
 
@@ -96,12 +125,13 @@ def varied_subset(
     greatest new weight. Null keys, null skills and skills without a weight
     are left out; records without any skill are no candidates. With fewer
     different sets than ``size``, sets are taken repeatedly, as evenly as they
-    have records. Ties go to the smaller set, then the smaller key.
+    have records. Ties go to the smaller set, then the smaller key. The first
+    round has ``partitions`` core-sets, by default two a core of the cluster.
     """
     known = F.array(*(F.lit(k) for k in sorted(weights)))
     clean = F.array_sort(F.array_distinct(F.array_intersect(F.col(skills), known)))
     sets = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), clean.alias("set")).where(F.size("set") > 0)
-    counted = sets.groupBy("set").agg(F.count("*").alias("records"), F.min("key").alias("key"))
+    counted = materialised(sets.groupBy("set").agg(F.count("*").alias("records"), F.min("key").alias("key")), "varied-candidates")
     n_sets = counted.count()
     copies = 1 if n_sets >= size else -(-size // max(1, n_sets))
     key_type = records.schema[key].dataType.simpleString()
@@ -113,13 +143,17 @@ def varied_subset(
                 part = batch.iloc[at : at + STREAM_ROWS]
                 kept = part if kept is None else pd.concat([kept, part], ignore_index=True)
                 if len(kept) > size:
-                    kept = kept.iloc[farthest([tuple(x) for x in kept["set"]], weights, size)]
+                    kept = kept.iloc[disperse([tuple(x) for x in kept["set"]], weights, size)]
         if kept is not None and len(kept):
             yield kept
 
     schema = f"set array<string>, records bigint, key {key_type}"
-    placed = counted.repartition(core_sets, F.pmod(F.xxhash64("set"), F.lit(core_sets))).sortWithinPartitions("set")
-    cores = placed.mapInPandas(core, schema)
+    cores = counted.select("set", "records", "key")
+    # a core-set of fewer candidates than some times its size would keep most of them
+    parts = max(1, min(partitions or 2 * records.sparkSession.sparkContext.defaultParallelism, n_sets // (4 * size)))
+    while parts > 1:
+        cores = cores.repartition(parts, "set").sortWithinPartitions("set").mapInPandas(core, schema)
+        parts = -(-parts // FAN_IN) if parts > FAN_IN else 1
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key", ignore_index=True)
@@ -135,7 +169,7 @@ def varied_subset(
         return pd.DataFrame(rows, columns=["rank", key, skills, "records", "new_weight"])
 
     out = f"rank int, `{key}` {key_type}, `{skills}` array<string>, records bigint, new_weight double"
-    # one task gets the core-sets: at most core_sets * size rows
+    # the last task gets FAN_IN * size rows at most, or too few candidates for a core-set
     chosen = cores.groupBy(F.lit(0).alias("all")).applyInPandas(choose, out)
     if copies == 1:
         return chosen
