@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import components
-from millrace.session import checkpointed, materialised
+from millrace.session import broadcast_if_small, checkpointed, materialised
 
 THRESHOLD = 0.5
 
@@ -196,17 +196,17 @@ def _blend(both: Column) -> Column:
 def _dots(met: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(a, b, similarity)`` from ``(a, b, kind, xa, xb)``: one row a feature that both phrasings have."""
     skilled = vectors.where("kind = 's'").select("phrasing", F.lit(True).alias("has")).distinct()
-    # a feature with a small part in both vectors adds next to nothing to a cosine
-    dots = met.where("xa > 0.02 and xb > 0.02").groupBy("a", "b").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("xa") * F.col("xb"))), F.lit(0.0)).alias(k) for k in "stw"))
+    dots = met.groupBy("a", "b").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("xa") * F.col("xb"))), F.lit(0.0)).alias(k) for k in "stw"))
     joined = dots.join(skilled.withColumnsRenamed({"phrasing": "a", "has": "has_a"}), "a", "left").join(skilled.withColumnsRenamed({"phrasing": "b", "has": "has_b"}), "b", "left")
     return joined.select("a", "b", _blend(F.coalesce(F.col("has_a") & F.col("has_b"), F.lit(False))).alias("similarity"))
 
 
-def _meet(rows: DataFrame, on: list[str], left: dict[str, str], right: dict[str, str]) -> DataFrame:
+def _meet(rows: DataFrame, on: list[str], left: dict[str, str], right: dict[str, str], name: str = "phrasing") -> DataFrame:
     """``rows`` joined with themselves on ``on``; a hot key is split into blocks, each with all rows of the other side."""
-    hot = rows.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    kept = rows.join(hot, on)
-    l = kept.withColumn("block", F.pmod(F.xxhash64("phrasing"), F.col("blocks")).cast("int")).select(*on, "block", *(F.col(c).alias(n) for c, n in left.items()))
+    hot = rows.groupBy(*on).agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK_ROWS)
+    hot = broadcast_if_small(hot.select(*on, F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "hot-keys")
+    kept = rows.join(hot, on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    l = kept.withColumn("block", F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")).select(*on, "block", *(F.col(c).alias(n) for c, n in left.items()))
     r = kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*on, "block", *(F.col(c).alias(n) for c, n in right.items()))
     return l.join(r, [*on, "block"])
 
@@ -308,10 +308,14 @@ def cluster_steps(steps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def cluster_pairs(clustered: DataFrame) -> DataFrame:
-    """``(step_id_a, step_id_b)`` of all pairs of one cluster, smaller id first."""
-    a = clustered.select("cluster", F.col("step_id").alias("step_id_a"))
-    b = clustered.select("cluster", F.col("step_id").alias("step_id_b"))
-    return a.join(b, "cluster").where("step_id_a < step_id_b").select("step_id_a", "step_id_b")
+    """``(step_id_a, step_id_b)`` of all pairs of one cluster, smaller id first.
+
+    The pairs of a huge cluster are made in blocks of its rows, each with all
+    the others.
+    """
+    steps = clustered.select("cluster", "step_id")
+    met = _meet(steps, ["cluster"], {"step_id": "step_id_a"}, {"step_id": "step_id_b"}, "step_id")
+    return met.where("step_id_a < step_id_b").select("step_id_a", "step_id_b")
 
 
 def describe_clusters(clustered: DataFrame, typical: int = 3) -> DataFrame:
