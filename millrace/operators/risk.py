@@ -20,15 +20,17 @@ def quantile_edges(rows: DataFrame, score: str, bins: int) -> DataFrame:
     return cuts.select(F.array_sort(F.array_distinct(F.filter("quantiles", lambda x: x.isNotNull()))).alias("edges"))
 
 
-def bin_of(score: Column, edges: Column) -> Column:
-    """1-based number of the bin ``(edge[k-1], edge[k]]``; null scores are bin 0."""
-    return F.when(score.isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e < score)) + 1)
+def bin_of(score: Column, edges: Column, bins: int) -> Column:
+    """1-based number of the bin ``(edge[k-1], edge[k]]`` of at most ``bins``; null scores are bin 0."""
+    # comparisons one by one stay in generated code, a filter of the array does not
+    above = sum((F.coalesce((F.get(edges, F.lit(k)) < score).cast("int"), F.lit(0)) for k in range(bins - 1)), F.lit(0))
+    return F.when(score.isNull(), 0).otherwise(above + 1)
 
 
-def binned(rows: DataFrame, score: str, bins: int, reference: DataFrame | None = None) -> DataFrame:
-    """``rows`` with ``bin``, by the quantiles of ``reference`` or of the rows themselves."""
-    edges = quantile_edges(reference if reference is not None else rows, score, bins)
-    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col(score), F.col("edges")).cast("bigint")).drop("edges")  # edges are one row
+def binned(rows: DataFrame, score: str, bins: int, edges: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``bin``, by the given ``edges`` or the quantiles of the rows themselves."""
+    edges = quantile_edges(rows, score, bins) if edges is None else edges
+    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col(score), F.col("edges"), bins).cast("bigint")).drop("edges")  # edges are one row
 
 
 def bin_table(rows: DataFrame, score: str, label: str, bins: int) -> DataFrame:
@@ -53,9 +55,10 @@ def woe_iv(rows: DataFrame, score: str, label: str, bins: int, by: Sequence[str]
 
 def psi(base: DataFrame, other: DataFrame, score: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, psi)`` of ``other``, by group, against the distribution of ``base`` over its own quantile bins."""
-    expected = binned(base, score, bins).groupBy("bin").agg(F.count("*").alias("e"))
+    edges = quantile_edges(base, score, bins)
+    expected = binned(base, score, bins, edges).groupBy("bin").agg(F.count("*").alias("e"))
     expected = expected.withColumn("e", F.col("e") / F.sum("e").over(W.partitionBy(F.lit(0))))
-    actual = binned(other, score, bins, base).groupBy(*by, "bin").agg(F.count("*").alias("a"))
+    actual = binned(other, score, bins, edges).groupBy(*by, "bin").agg(F.count("*").alias("a"))
     every = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     actual = actual.withColumn("a", F.col("a") / F.sum("a").over(every))
     groups = actual.select(*by).distinct() if by else None

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import mid_ranks, running
+from millrace.operators.ordered import mid_ranks, quantiles, running
 
 # Regression: each metric is one aggregate of the truth y and the prediction p.
 
@@ -19,17 +23,28 @@ REGRESSION: dict[str, Callable[[Column, Column], Column]] = {
     "msle": lambda y, p: F.avg(F.pow(F.log1p(y) - F.log1p(F.greatest(p, F.lit(0.0))), F.lit(2))),
     "smape": lambda y, p: 100 * F.avg(F.when(F.abs(y) + F.abs(p) == 0, 0.0).otherwise(2 * F.abs(y - p) / (F.abs(y) + F.abs(p)))),
     "mape": lambda y, p: F.avg(F.try_divide(F.abs(y - p), F.abs(y))),
-    "medae": lambda y, p: F.median(F.abs(y - p)),
     "r2": lambda y, p: 1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y)),
 }
 LOWER_IS_BETTER = frozenset({"mae", "mse", "rmse", "msle", "smape", "mape", "medae", "logloss", "crps"})
 
 
-def regression(rows: DataFrame, truth: str, predicted: str, metrics: Sequence[str] = tuple(REGRESSION), by: Sequence[str] = ()) -> DataFrame:
-    """One column a metric; rows without truth or prediction are left out, no rows give nulls."""
+def regression(rows: DataFrame, truth: str, predicted: str, metrics: Sequence[str] = (*REGRESSION, "medae"), by: Sequence[str] = ()) -> DataFrame:
+    """One column a metric; rows without truth or prediction are left out, no rows give nulls.
+
+    ``medae``, the median of the absolute errors, is no aggregate in one pass
+    and takes those of an exact quantile.
+    """
     y, p = F.col(truth).cast("double"), F.col(predicted).cast("double")
     kept = rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
-    return kept.groupBy(*by).agg(*(REGRESSION[m](y, p).alias(m) for m in metrics))
+    out = kept.groupBy(*by).agg(F.count("*").alias("__n"), *(REGRESSION[m](y, p).alias(m) for m in metrics if m != "medae"))
+    if "medae" in metrics:
+        middle = quantiles(kept.withColumn("__e", F.abs(y - p)), "__e", [0.5], by).withColumn("medae", F.col("quantiles")[0])
+        if by:
+            same = reduce(lambda a, b: a & b, (F.col(f"o.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by))
+            out = out.alias("o").join(middle.alias("m"), same, "left").select("o.*", "m.medae")
+        else:
+            out = out.crossJoin(F.broadcast(middle))  # one row
+    return out.select(*by, *metrics)
 
 
 def normalised(value: Column, low: float, high: float, metric: str) -> Column:
@@ -171,19 +186,25 @@ def benjamini_hochberg(tests: DataFrame, p: str, key: str) -> DataFrame:
     return scaled.withColumn("q", F.least(F.lit(1.0), least)).drop("__k", "__q")
 
 
-def bootstrap_mean(rows: DataFrame, value: str, replicates: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """One row ``(mean, low, high)``: a Poisson bootstrap; every row counts in all replicates in one pass."""
-    kept = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    u = F.rand(seed)
-    drawn = kept.withColumn("__u", u).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    # a uniform number of the row and replicate, turned into a Poisson(1) weight
-    x = F.pmod(F.xxhash64("__u", "r"), F.lit(1_000_003)) / 1_000_003
-    edges, total, term = [], 0.0, 0.36787944117144233
-    for k in range(9):
-        total += term
-        edges.append(total)
-        term /= k + 1
-    weight = sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
+def bootstrap_mean(rows: DataFrame, value: str, key: str, replicates: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """One row ``(mean, low, high)``: a Poisson bootstrap; every row counts in all replicates in one pass.
+
+    How often a row counts follows from its ``key``, so the result does not
+    depend on partitions. Each batch gives one row of sums for each replicate.
+    """
+    kept = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.xxhash64(key, F.lit(seed)).alias("h"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixed = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            v, h = batch.column("v").to_numpy(), batch.column("h").to_numpy().view(np.uint64)
+            x = h[:, None] ^ mixed[None, :]
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            w = np.searchsorted(steps, (x >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(v @ w), pa.array(w.sum(axis=0))], ["r", "s", "w"])
+
+    sums = kept.mapInArrow(draw, "r bigint, s double, w double").groupBy("r").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return sums.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))

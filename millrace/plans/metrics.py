@@ -157,4 +157,4 @@ def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     """A seeded bootstrap of the mean order value; random numbers have no SQL that says the same."""
-    return scoring.bootstrap_mean(table(spark, sf, "orders"), "o_totalprice")
+    return scoring.bootstrap_mean(table(spark, sf, "orders"), "o_totalprice", "o_orderkey")

@@ -205,3 +205,58 @@ def test_profile_counts_nan_as_missing(spark):
     assert got == {"x": (1, 1), "s": (1, 1), "l": (1, None)}
     names = spark.createDataFrame([(f"g_{k}",) for k in range(6)] + [("id",)], "n string")
     assert {(r["pattern"], r["members"]) for r in profile.name_patterns(names, "n").collect()} == {("g_{N}", 6), ("id", 1)}
+
+
+def _ordered_rows(spark, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    # a narrow group, one of a single value, a heavy-tailed one and a null one
+    made = [("narrow", 1000 + rng.random() * 1e-9) for _ in range(400)] + [("one", 5.0)] * 300 + [("tail", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(300)] + [(None, float(k % 7)) for k in range(100)]
+    made += [("narrow", None), ("none", None), ("one", float("nan"))]
+    return made, spark.createDataFrame(made, "g string, v double")
+
+
+@pytest.mark.parametrize("task_rows", [10, 200_000])
+def test_quantiles_of_any_group_are_exact(spark, monkeypatch, task_rows):
+    import numpy as np
+
+    from millrace.operators import ordered
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
+    made, df = _ordered_rows(spark)
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r["g"]: r["quantiles"] for r in ordered.quantiles(df, "v", shares, ["g"]).collect()}
+    for g in ("narrow", "one", "tail", None):
+        kept = [v for h, v in made if h == g and v is not None and v == v]
+        assert got[g] == pytest.approx(np.quantile(kept, shares).tolist(), rel=1e-12), g
+    assert "none" not in got
+    every = [v for _, v in made if v is not None and v == v]
+    assert ordered.quantiles(df, "v", [0.5]).first()["quantiles"][0] == pytest.approx(float(np.quantile(every, 0.5)))
+    assert ordered.quantiles(df.limit(0), "v", [0.5, 0.1]).first()["quantiles"] == [None, None]
+    twice = ordered.quantiles(df.groupBy("g", "v").count(), "v", [0.5], ["g"], weight="count")
+    assert {r["g"]: r["quantiles"][0] for r in twice.collect()} == {g: q[2] for g, q in got.items()}
+
+
+def test_running_sums_of_groups(spark):
+    from collections import Counter
+
+    from millrace.operators import ordered
+
+    made, df = _ordered_rows(spark, 8)
+    counted = df.where("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count("*").alias("n"), F.sum(F.lit(0.5)).alias("x"))
+    got = {(r["g"], r["v"]): (r["before_n"], r["before_x"]) for r in ordered.running(counted, "v", ["n", "x"], ["g"]).collect()}
+    own = Counter((g, v) for g, v in made if v is not None and v == v)
+    assert got == {(g, v): (n := sum(m for (h, u), m in own.items() if h == g and u < v), n / 2) for g, v in own}
+    alone = {r["v"]: r["before_n"] for r in ordered.running(counted.groupBy("v").agg(F.sum("n").alias("n")), "v", ["n"]).collect()}
+    assert alone == {v: sum(m for (_, u), m in own.items() if u < v) for _, v in own}
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    from millrace.operators import scoring
+
+    df = spark.range(500).selectExpr("id", "cast(id % 50 as double) as v", "'clash' as r")
+    one, many = (scoring.bootstrap_mean(df.repartition(k), "v", "id").first() for k in (1, 7))
+    assert one["mean"] == pytest.approx(many["mean"]) and one["low"] == pytest.approx(many["low"])
+    assert one["low"] < 24.5 < one["high"] and abs(one["mean"] - 24.5) < 1
+    assert scoring.bootstrap_mean(df.limit(0), "v", "id").first()["mean"] is None
