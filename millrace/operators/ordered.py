@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.session import BROADCAST_BYTES, ROW_BYTES, broadcast_if_small, materialised
+from millrace.session import BROADCAST_BYTES, ROW_BYTES, broadcast_if_small, materialised, materialised_if_costly
 
 #: Parts of an interval in one pass of a search for ranks.
 CELLS = 1024
@@ -106,6 +106,7 @@ def at_ranks(rows: DataFrame, value: str, ranks: Callable[[Column], Column], by:
     """
     v = F.col(value).cast("double")
     kept = rows.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("__v"), (F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")).alias("__w"))
+    kept = materialised_if_costly(kept, "values")
     group = list(by) or [F.lit(0)]
     bounds = (F.sum("__w").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     first = materialised(kept.groupBy(*by, _log_cell(F.col("__v")).alias("__c")).agg(*bounds), "cells")

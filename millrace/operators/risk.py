@@ -14,23 +14,22 @@ from millrace.operators.ordered import quantiles, running
 EPSILON = 1e-6
 
 
-def quantile_edges(rows: DataFrame, score: str, bins: int) -> DataFrame:
-    """One row ``(edges)``: the inner edges of bins of equal counts, exact, without repetitions."""
-    cuts = quantiles(rows, score, [k / bins for k in range(1, bins)])
-    return cuts.select(F.array_sort(F.array_distinct(F.filter("quantiles", lambda x: x.isNotNull()))).alias("edges"))
+def quantile_edges(rows: DataFrame, score: str, bins: int) -> list[float]:
+    """The inner edges of bins of equal counts, exact, without repetitions: at most ``bins - 1`` numbers."""
+    cuts = quantiles(rows, score, [k / bins for k in range(1, bins)]).first()["quantiles"]
+    return sorted({x for x in cuts if x is not None})
 
 
-def bin_of(score: Column, edges: Column, bins: int) -> Column:
-    """1-based number of the bin ``(edge[k-1], edge[k]]`` of at most ``bins``; null scores are bin 0."""
-    # comparisons one by one stay in generated code, a filter of the array does not
-    above = sum((F.coalesce((F.get(edges, F.lit(k)) < score).cast("int"), F.lit(0)) for k in range(bins - 1)), F.lit(0))
-    return F.when(score.isNull(), 0).otherwise(above + 1)
+def bin_of(score: Column, edges: Sequence[float]) -> Column:
+    """1-based number of the bin ``(edge[k-1], edge[k]]``; null scores are bin 0."""
+    # comparisons one by one stay in generated code, a filter of an array does not
+    return F.when(score.isNull(), 0).otherwise(sum((F.when(score > e, 1).otherwise(0) for e in edges), F.lit(1)))
 
 
-def binned(rows: DataFrame, score: str, bins: int, edges: DataFrame | None = None) -> DataFrame:
+def binned(rows: DataFrame, score: str, bins: int, edges: Sequence[float] | None = None) -> DataFrame:
     """``rows`` with ``bin``, by the given ``edges`` or the quantiles of the rows themselves."""
     edges = quantile_edges(rows, score, bins) if edges is None else edges
-    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col(score), F.col("edges"), bins).cast("bigint")).drop("edges")  # edges are one row
+    return rows.withColumn("bin", bin_of(F.col(score), edges).cast("bigint"))
 
 
 def bin_table(rows: DataFrame, score: str, label: str, bins: int) -> DataFrame:

@@ -72,6 +72,12 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialised_if_costly(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once if it shuffles: for several passes over the same rows. Plain scans are read again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialised(df, name) if any(x in plan for x in ("Join", "Aggregate", "Window", "Repartition", "InPandas", "InArrow")) else df
+
+
 def clear_materialised(spark: SparkSession) -> int:
     """Delete the tables that this application wrote; results that still read them must be done. Their number."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
