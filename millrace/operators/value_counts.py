@@ -1,11 +1,16 @@
 """Column quality profiles from persistent value-count tables.
 
-A value-count table has one row for each (group, column, value) with the
+A value-count table has one row for each (group, load, column, value) with the
 number of rows that hold the value. It is additive: a load changes it by
 signed deltas, and every metric of a profile (missing share, distinct values,
 range, median, entropy, pattern violations, changes of shares) is exact and
 derived from the counts alone. A column with one value in a third of all rows
 is one row of the table, and counts are added up before they are shuffled.
+
+A load is a full copy of its group, so its signed delta adds its own counts
+and takes away those of the load before. :class:`CountStore` writes the first
+part; the second is the first part of the load before with the sign changed
+and is not written again.
 """
 
 from __future__ import annotations
@@ -18,14 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.session import broadcast_if_small, materialised
+from millrace.operators.ordered import at_ranks
+from millrace.session import broadcast_if_small, materialised, new_path
 
 # Texts that stand for "no value", in lower case without outer blanks.
 NO_VALUE = ("", "-", "--", "?", "??", ".", "\\n", "n/a", "#n/a", "nan", "none", "null", "nil", "(null)", "<null>", "<na>", "missing", "unknown", "undefined", "not available")
 
-#: Buckets per e-fold of the first pass for a median: some 1.6 % wide each.
-BUCKETS = 64
-
 
 def missing(text: Column) -> Column:
     """Null, blank, or a text that stands for no value."""
@@ -58,10 +61,15 @@ def value_counts(table: DataFrame, groups: Sequence[str], rules: Rules) -> DataF
     Missing values keep their form (``txt``) in text columns; a number that is
     null or NaN has a null ``num``.
     """
-    text = [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("num"), F.col(c).cast("string").alias("txt")) for c in rules.texts]
-    number = [F.struct(F.lit(c).alias("column"), F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias("num"), F.lit(None).cast("string").alias("txt")) for c in rules.numbers]
+    names = rules.columns
+    code = lambda c: F.lit(names.index(c)).cast("tinyint").alias("code")
+    text = [F.struct(code(c), F.lit(None).cast("double").alias("num"), F.col(c).cast("string").alias("txt")) for c in rules.texts]
+    number = [F.struct(code(c), F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias("num"), F.lit(None).cast("string").alias("txt")) for c in rules.numbers]
     cells = table.select(*groups, F.explode(F.array(*text, *number)).alias("cell")).select(*groups, "cell.*")
-    return cells.groupBy(*groups, "column", "num", "txt").agg(F.count("*").alias("n"))
+    # the number of the column stands for its name while counts are shuffled
+    counted = cells.groupBy(*groups, "code", "num", "txt").agg(F.count("*").alias("n"))
+    column = F.element_at(F.array(*(F.lit(c) for c in names)), F.col("code").cast("int") + 1)
+    return counted.select(*groups, column.alias("column"), "num", "txt", "n")
 
 
 def signed_delta(before: DataFrame, after: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -79,24 +87,53 @@ def apply_delta(counts: DataFrame, delta: DataFrame, groups: Sequence[str]) -> D
 
 
 class CountStore:
-    """Value counts kept in a folder as one table of signed deltas a load.
+    """Value counts of every load, kept in a folder as signed deltas; ``group`` and ``load`` name the two key columns.
 
-    ``add`` writes the delta of one load, ``counts`` adds the deltas up to a
-    load. Adding a load again replaces its delta.
+    ``add`` writes the deltas of the loads in a table of rows and reads
+    nothing else. ``delta`` gives the signed delta of each load, ``counts``
+    what the deltas up to each load add up to. Adding a load again replaces it.
     """
 
-    def __init__(self, spark, path: str, groups: Sequence[str]):
-        self.spark, self.path, self.groups = spark, path.rstrip("/"), list(groups)
+    def __init__(self, spark, path: str, group: str, load: str, rules: Rules):
+        self.spark, self.path, self.group, self.load, self.rules = spark, path.rstrip("/"), group, load, rules
+        self.keys = [group, load, "column", "num", "txt"]
+        self.schema = None
 
-    def add(self, load: int, delta: DataFrame) -> None:
-        delta.write.mode("overwrite").parquet(f"{self.path}/load={int(load)}")
+    def add(self, rows: DataFrame) -> None:
+        """The loads of ``rows``, any number of them in one pass; rows without a load number belong to none."""
+        own = rows.where(F.col(self.load).isNotNull()).select(F.col(self.group), F.col(self.load).cast("int").alias(self.load), *self.rules.columns)
+        counted = value_counts(own, [self.group, self.load], self.rules)
+        # a folder a load; those of other loads stay
+        placed = counted.withColumn("__load", F.col(self.load))
+        self.schema = placed.schema
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__load").parquet(self.path)
 
     def counts(self, upto: int | None = None) -> DataFrame:
-        deltas = self.spark.read.parquet(self.path)
-        if upto is not None:
-            deltas = deltas.where(F.col("load") <= upto)
-        keys = [*self.groups, "column", "num", "txt"]
-        return deltas.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+        """``(group, load, column, num, txt, n)``: the counts after each load, up to ``upto``."""
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        every = reader.parquet(self.path)
+        kept = every.where(F.col("__load") <= upto) if upto is not None else every
+        return kept.select(*self.keys, "n")
+
+    def following(self) -> DataFrame:
+        """``(group, load, next)``: the load that follows each one in its group."""
+        loads = self.counts().select(self.group, self.load).distinct()
+        return loads.withColumn("next", F.lead(self.load).over(W.partitionBy(self.group).orderBy(self.load))).where("next is not null")
+
+    def delta(self, counts: DataFrame | None = None) -> DataFrame:
+        """The signed delta of each load but the first of a group: what it adds positive, what it takes away negative, equal counts gone."""
+        own = self.counts() if counts is None else counts
+        following = broadcast_if_small(self.following(), "loads")
+        taken = own.join(following, [self.group, self.load]).select(self.group, F.col("next").alias(self.load), "column", "num", "txt", (-F.col("n")).alias("n"))
+        later = following.select(self.group, F.col("next").alias(self.load))
+        return own.join(later, [self.group, self.load], "left_semi").unionByName(taken).groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def counted(table: DataFrame, group: str, load: str, rules: Rules) -> CountStore:
+    """A store of this run in the shared folder, with the loads of ``table``."""
+    store = CountStore(table.sparkSession, new_path(table.sparkSession, "value-counts"), group, load, rules)
+    store.add(table)
+    return store
 
 
 def _is_missing(rules: Rules) -> Column:
@@ -134,33 +171,14 @@ def profile(counts: DataFrame, groups: Sequence[str], rules: Rules) -> DataFrame
     return out.withColumn("entropy", entropy).drop("__nlogn")
 
 
-def _bucket(num: Column) -> Column:
-    """A bucket number that grows with the value."""
-    size = F.floor(F.log(F.abs(num)) * BUCKETS) + F.lit(100_000)
-    return F.when(num == 0, F.lit(0)).when(num > 0, size).otherwise(-size).cast("int")
-
-
 def medians(counts: DataFrame, groups: Sequence[str], rules: Rules) -> DataFrame:
-    """``(*groups, column, median)``, exact, of the number columns with values.
-
-    The first pass counts by bucket and finds the buckets of the two middle
-    ranks; the second orders only the values of those buckets. No task gets
-    a whole group.
-    """
+    """``(*groups, column, median)``, exact, of the number columns with values; no task gets a whole group."""
     keys = [*groups, "column"]
-    numbers = counts.where(F.col("column").isin(*rules.numbers) & F.col("num").isNotNull()).select(*keys, "num", "n", _bucket(F.col("num")).alias("bucket"))
-    filled = numbers.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-    upto = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = filled.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy(*keys)))
-    for name, rank in (("lower", F.floor((F.col("all") + 1) / 2)), ("upper", F.floor(F.col("all") / 2) + 1)):
-        ranked = ranked.withColumn(name, F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), rank - (F.col("upto") - F.col("n"))))
-    wanted = ranked.where("lower is not null or upper is not null").select(*keys, "bucket", "lower", "upper")
-    # a row or two a column and load: sent to the counts if they are few, else joined by key
-    inside = numbers.join(broadcast_if_small(wanted, "median-buckets"), [*keys, "bucket"])
-    within = W.partitionBy(*keys, "bucket").orderBy("num").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at = inside.withColumn("upto", F.sum("n").over(within))
-    hit = lambda r: F.max(F.when((F.col("upto") >= F.col(r)) & (F.col("upto") - F.col("n") < F.col(r)), F.col("num")))
-    return at.groupBy(*keys).agg(((hit("lower") + hit("upper")) / 2).alias("median"))
+    numbers = counts.where(F.col("column").isin(*rules.numbers) & F.col("num").isNotNull())
+    middle = lambda total: F.array(F.floor((total - 1) / 2), F.floor(total / 2))
+    found = at_ranks(numbers, "num", middle, keys, weight="n")
+    low, high = (F.col("found")[r] for r in (F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)))
+    return found.select(*keys, ((low + high) / 2).alias("median"))
 
 
 def share_shifts(counts: DataFrame, profiles: DataFrame, following: DataFrame, group: str, load: str, rules: Rules) -> DataFrame:
@@ -204,11 +222,11 @@ def find_load_defects(table: DataFrame, records: DataFrame, rules: Rules, group:
     none = "\u0000"
     own = table.where(F.col(load).isNotNull()).withColumn(group, F.coalesce(group, F.lit(none)))
     groups = [group, load]
-    counts = materialised(value_counts(own.select(*groups, *rules.columns), groups, rules), "value-counts")
+    store = counted(own, group, load, rules)
+    counts = store.counts()
     profiles = profile(counts, groups, rules).join(medians(counts, groups, rules), [*groups, "column"], "left")
     profiles = materialised(profiles, "profiles")
-    loads = profiles.select(*groups).distinct()
-    following = loads.withColumn("next", F.lead(load).over(W.partitionBy(group).orderBy(load))).where("next is not null")
+    following = broadcast_if_small(store.following(), "loads")
     before = profiles.join(following, groups).select(
         group, F.col("next").alias(load), "column", (F.col("missing") / F.col("total")).alias("rate_before"), F.col("median").alias("median_before"), F.col("present").alias("present_before")
     )

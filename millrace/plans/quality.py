@@ -27,7 +27,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The profile of every column of every load."""
     groups = ["series", "load_no"]
-    counts = vc.value_counts(table(spark, sf, "region_index"), groups, RULES)
+    counts = vc.counted(table(spark, sf, "region_index"), *groups, RULES).counts()
     found = vc.profile(counts, groups, RULES).join(vc.medians(counts, groups, RULES), [*groups, "column"], "left")
     return found.select(
         *groups, F.col("column").alias("column_name"), "total", "missing", F.col("distinct").alias("distinct_values"),

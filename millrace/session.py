@@ -60,15 +60,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; ``clear_materialised`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read again.
 
     Unlike a checkpoint the table is compressed and columnar, so that later
     reads take only the columns they need.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

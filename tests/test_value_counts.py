@@ -68,19 +68,26 @@ def test_medians_are_exact(spark, values):
     assert vc.medians(counts, ["series", "load_no"], RULES).first()["median"] == statistics.median(values)
 
 
-def test_deltas_add_up(spark, tmp_path):
-    groups = ["series"]
-    one = vc.value_counts(spark.createDataFrame(load(1, ["AB", "CD", "AB"], [1, 2, 3]), SCHEMA), groups, RULES)
-    two = vc.value_counts(spark.createDataFrame(load(1, ["AB", "EF"], [1, 9]), SCHEMA), groups, RULES)
-    delta = vc.signed_delta(one, two, groups)
-    as_set = lambda df: {tuple(r) for r in df.select("column", "num", "txt", "n").collect()}
-    assert as_set(vc.apply_delta(one, delta, groups)) == as_set(two)
-    store = vc.CountStore(spark, str(tmp_path / "counts"), groups)
-    store.add(1, one)
-    store.add(2, delta)
-    store.add(2, delta)
-    assert as_set(store.counts()) == as_set(two)
-    assert as_set(store.counts(1)) == as_set(one)
+def test_loads_in_turn_equal_one_recount(spark, tmp_path):
+    groups = ["series", "load_no"]
+    as_set = lambda df: {tuple(r) for r in df.select(*groups, "column", "num", "txt", "n").collect()}
+    first = spark.createDataFrame(load(1, ["AB", "CD", "AB"], [1, 2, 3]), SCHEMA)
+    third = spark.createDataFrame(load(3, ["AB", "EF"], [1, 9]), SCHEMA)
+    other = spark.createDataFrame(load(1, ["XY"], [4], "b"), SCHEMA)
+    store = vc.CountStore(spark, str(tmp_path / "counts"), *groups, RULES)
+    store.add(first.unionByName(other))
+    # only the rows of the next load are given, and a load given again replaces itself
+    store.add(third)
+    store.add(third)
+    every = first.unionByName(third).unionByName(other)
+    assert as_set(store.counts()) == as_set(vc.value_counts(every, groups, RULES))
+    assert as_set(store.counts(1)) == as_set(vc.value_counts(first.unionByName(other), groups, RULES))
+    assert as_set(store.delta()) == {("a", 3, "state", None, "AB", -1), ("a", 3, "state", None, "CD", -1), ("a", 3, "state", None, "EF", 1), ("a", 3, "x", 2.0, None, -1), ("a", 3, "x", 3.0, None, -1), ("a", 3, "x", 9.0, None, 1)}
+    # the counts before and the delta give the counts after
+    keep = lambda no: store.counts().where(F.col("load_no") == no).where("series = 'a'").drop("load_no")
+    delta = store.delta().drop("load_no")
+    assert {tuple(r) for r in vc.apply_delta(keep(1), delta, ["series"]).collect()} == {tuple(r) for r in keep(3).collect()}
+    assert {tuple(r) for r in vc.signed_delta(keep(1), keep(3), ["series"]).collect()} == {tuple(r) for r in delta.select("series", "column", "num", "txt", "n").collect()}
 
 
 def test_entropy(spark):
