@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from millrace.operators import table_diff
 from millrace.operators.table_diff import differences
 
 SCHEMA = "regionid bigint, name string, rate double, total bigint, at timestamp, difference string"
@@ -40,3 +41,18 @@ def test_repeated_rows_latest_and_null_key(spark):
 def test_empty(spark):
     assert diff(spark, [], []) == []
     assert diff(spark, [], [(1, "a", 1.0, 1)]) == [(1, "only_right")]
+
+
+def test_the_matrix_locates_unequal_buckets_and_columns(spark):
+    left = [(k, f"n{k}", float(k), k, T0) for k in range(400)]
+    right = [(k, f"n{k}", float(k) + (k == 7), k, T0 + dt.timedelta(1)) for k in reversed(range(400))] + [(9, "n9", 9.0, 9, T0)]
+    make = lambda rows: spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    sums = [table_diff.checksums(make(rows), "regionid", ["name", "rate", "total"], 64, "at") for rows in (left, right)]
+    found = table_diff.unequal_cells(*sums, ["name", "rate", "total"]).collect()
+    assert [r["__unequal"] for r in found] == [[False, True, False]]
+    assert diff(spark, left, right) == [(7, "rate")]
+
+
+def test_equal_times_of_a_key_are_settled_alike_on_both_sides(spark):
+    both = [(1, "a", 1.0, 1), (1, "b", 2.0, 2)]
+    assert diff(spark, both, both[::-1]) == []
