@@ -110,16 +110,16 @@ def at_ranks(rows: DataFrame, value: str, ranks: Callable[[Column], Column], by:
     group = list(by) or [F.lit(0)]
     bounds = (F.sum("__w").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     first = materialised(kept.groupBy(*by, _log_cell(F.col("__v")).alias("__c")).agg(*bounds), "cells")
-    total = first.groupBy(*by).agg(F.sum("n").alias("total")).where("total > 0")
-    wanted = total.withColumn("ranks", F.transform(F.array_distinct(ranks(F.col("total"))), lambda r: F.struct(r.cast("bigint").alias("rank"), r.cast("bigint").alias("at"))))
-    if by:
-        cells = first.alias("f").join(wanted.alias("w"), _same(by, "f", "w")).select("f.*", "w.ranks")
-    else:
-        cells = first.crossJoin(F.broadcast(wanted.select("ranks")))  # one row
-    done: list[DataFrame] = []
-    state = materialised(_holding(cells, group, ["__c"]).select(*by, "n", "lo", "hi", "ranks"), "cells")
+    # totals come with the running sums of the cells, so the cells are shuffled once
+    known = first.withColumn("total", F.sum("n").over(W.partitionBy(*group)))
+    wanted = F.transform(F.array_distinct(ranks(F.col("total"))), lambda r: F.struct(r.cast("bigint").alias("rank"), r.cast("bigint").alias("at")))
+    state = materialised(_holding(known.withColumn("ranks", wanted), group, ["__c"]).select(*by, "n", "lo", "hi", "ranks", "total"), "cells")
+    nothing = (F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("double").alias("value"))
+    done = [state.select(*by, *nothing, "total")]
+    state = state.drop("total")
+    none = F.lit(None).cast("bigint").alias("total")
     while True:
-        done.append(state.where("lo = hi").select(*by, F.explode("ranks.rank").alias("rank"), F.col("lo").alias("value")))
+        done.append(state.where("lo = hi").select(*by, F.explode("ranks.rank").alias("rank"), F.col("lo").alias("value"), none))
         left = state.where("lo < hi")
         most, open_cells = left.agg(F.max("n"), F.count("*")).first()
         if most is None:
@@ -133,18 +133,16 @@ def at_ranks(rows: DataFrame, value: str, ranks: Callable[[Column], Column], by:
         cell = F.filter("__cells", lambda c: (c["lo"] <= F.col("__v")) & (F.col("__v") <= c["hi"]))
         met = met.withColumn("__cell", F.try_element_at(cell, F.lit(1))).where("__cell is not null").select(*by, "__v", "__w", "__cell")
         if most <= TASK_ROWS:
-            last = met.groupBy(*by, "__cell.lo", "__cell.ranks", "__v").agg(F.sum("__w").alias("n"))
+            last = met.groupBy(*by, "__cell.lo", "__v").agg(F.sum("__w").alias("n"), F.first("__cell.ranks").alias("ranks"))
             hits = _holding(last, [*by, "lo"], ["__v"])
-            done.append(hits.select(*by, F.explode("ranks.rank").alias("rank"), F.col("__v").alias("value")))
+            done.append(hits.select(*by, F.explode("ranks.rank").alias("rank"), F.col("__v").alias("value"), none))
             break
         part = F.least(F.floor((F.col("__v") - F.col("__cell.lo")) / (F.col("__cell.hi") - F.col("__cell.lo")) * CELLS), F.lit(CELLS - 1)).alias("__c")
         parts = met.groupBy(*by, F.col("__cell.lo").alias("__from"), F.col("__cell.ranks").alias("ranks"), part).agg(*bounds)
         state = materialised(_holding(parts, [*by, "__from"], ["__c"]).select(*by, "n", "lo", "hi", "ranks"), "cells")
     every = reduce(DataFrame.unionByName, done)
-    found = every.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("found"))
-    if by:
-        return total.alias("t").join(found.alias("f"), _same(by, "t", "f")).select("t.*", "f.found")
-    return total.crossJoin(F.broadcast(found))  # one row
+    pair = F.when(F.col("rank").isNotNull(), F.struct("rank", "value"))
+    return every.groupBy(*by).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_set(pair)).alias("found")).where("total > 0")
 
 
 def quantiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
