@@ -92,17 +92,36 @@ def _values(df: DataFrame, columns: Sequence[str], steps: Mapping[str, float | N
     return df.select(F.explode(F.array(*out)).alias("x")).select("x.*").distinct()
 
 
-def score_unordered(output: DataFrame, gold: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _step(column: Column, wanted: Sequence[str], steps: Mapping[str, float | None]) -> Column:
+    """The step of a column's numbers."""
+    return F.create_map(*(x for c in wanted for x in (F.lit(c), F.lit(float(steps.get(c, ABSOLUTE) or RELATIVE)))))[column]
+
+
+def resolve_columns(df: DataFrame, wanted: Sequence[str | int]) -> list[str]:
+    """Names of columns given by name or by 0-based place, as a number or its text; a name goes before a place."""
+    names = df.columns
+    return [c if c in names else names[int(c)] for c in wanted]
+
+
+def resolve_tolerances(df: DataFrame, tolerances: Mapping[str | int, float | None]) -> dict[str, float | None]:
+    """Tolerances by name, from names or places of the expected columns."""
+    return dict(zip(resolve_columns(df, list(tolerances)), tolerances.values(), strict=True))
+
+
+def score_unordered(output: DataFrame, gold: DataFrame, columns: Sequence[str] | None = None, tolerances: Mapping[str, float | None] | None = None) -> DataFrame:
     """``(column, matched)``: whether some output column holds every value of the expected one.
 
-    How often a value occurs and further output rows do not matter. Values are
-    joined by equality; nothing is compared pairwise.
+    How often a value occurs and further output rows do not matter. Numbers
+    are rounded to the tolerance of the expected column, on both sides. Values
+    are joined by equality; nothing is compared pairwise.
     """
-    wanted = list(columns or gold.columns)
-    g = _values(gold, wanted, {}).withColumnsRenamed({"c": "column"})
-    p = _values(output, output.columns, {}).withColumnsRenamed({"c": "other"})
+    wanted, steps = list(columns or gold.columns), tolerances or {}
+    g = _values(gold, wanted, steps).withColumnsRenamed({"c": "column"}).withColumn("step", _step(F.col("column"), wanted, steps))
+    sizes = sorted({steps.get(c, ABSOLUTE) or RELATIVE for c in wanted})
+    offered = [_values(output, output.columns, dict.fromkeys(output.columns, size)).withColumn("step", F.lit(size)) for size in sizes]
+    p = reduce(DataFrame.unionByName, offered).withColumnsRenamed({"c": "other"})
     need = g.groupBy("column").agg(F.count("*").alias("need"))
-    have = g.join(p, "v").groupBy("column", "other").agg(F.count("*").alias("have"))
+    have = g.join(p, ["v", "step"]).groupBy("column", "other").agg(F.count("*").alias("have"))
     best = have.groupBy("column").agg(F.max("have").alias("have"))
     return need.join(best, "column", "left").select("column", (F.coalesce("have", F.lit(0)) == F.col("need")).alias("matched"))
 

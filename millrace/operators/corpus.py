@@ -27,6 +27,20 @@ ALGORITHM_FAMILIES = (
     ("text", r"(?i)\b(?:tf[\s-]?idf|word2vec|fasttext|word\s*embedding|sentiment\s*analy)\b"),
     ("tests", r"(?i)\b(?:hypothesis\s*test|chi[\s-]?square|t[\s-]?test|anova|mann[\s-]?whitney|kolmogorov|shapiro|kruskal)\b"),
     ("resampling", r"(?i)\b(?:cross[\s-]?valid|k[\s-]?fold|bootstrap|bagging|boosting|stacking|ensemble)\b"),
+    ("stochastic models", r"(?i)\b(?:markov|bayesian|monte\s*carlo|expectation[\s-]?maximization)\b"),
+    ("interpolation", r"(?i)\b(?:interpolat|extrapolat|spline|kernel\s*density|kde)\b"),
+    ("tabular models", r"(?i)\b(?:dax|power\s*bi|olap|mdx|tabular\s*model)\b"),
+    ("signals", r"(?i)\b(?:fourier|wavelet|signal\s*process|spectral\s*analy)\b"),
+    ("anomalies", r"(?i)\b(?:anomaly\s*detect|outlier\s*detect|isolation\s*forest|one[\s-]?class\s*svm)\b"),
+    ("associations", r"(?i)\b(?:association\s*rule|apriori|fp[\s-]?growth|market\s*basket)\b"),
+    ("networks", r"(?i)\b(?:network\s*analy|graph\s*algorithm|pagerank|centrality|community\s*detect)\b"),
+    ("survival", r"(?i)\b(?:survival\s*analy|kaplan[\s-]?meier|cox\s*regression|hazard)\b"),
+    ("search", r"(?i)\b(?:genetic\s*algorithm|evolutionary|simulated\s*anneal|particle\s*swarm)\b"),
+    ("cluster quality", r"(?i)\b(?:silhouette|elbow\s*method|davies[\s-]?bouldin|calinski)\b"),
+    ("causality", r"(?i)\b(?:granger\s*causality|cointegrat|augmented\s*dickey|stationarity)\b"),
+    ("hidden states", r"(?i)\b(?:hidden\s*markov|viterbi|em\s*algorithm)\b"),
+    ("recommenders", r"(?i)\b(?:collaborative\s*filter|matrix\s*factoriz|recommender|content[\s-]?based\s*filter)\b"),
+    ("kernels", r"(?i)\b(?:naive\s*bayes|gaussian\s*process|kernel\s*regression)\b"),
 )
 
 
@@ -151,8 +165,10 @@ def action(text: Column) -> Column:
 
 def worst_first(errors: DataFrame, by: str, score: str, text: str, limit: int = 50, characters: int = 5000) -> DataFrame:
     """A report ``(by, report)``: messages of the lowest scores first, at most so many and so long."""
-    first = errors.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(score, text))).alias("all"))
-    joined = F.array_join(F.transform(F.slice("all", 1, limit), lambda e: e[text]), "\n")
+    # only the first rows of a group are collected
+    ranked = errors.withColumn("__k", F.row_number().over(W.partitionBy(by).orderBy(score, text))).where(F.col("__k") <= limit)
+    first = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__k", F.col(text).alias("__t")))).alias("all"))
+    joined = F.array_join(F.transform("all", lambda e: e["__t"]), "\n")
     return first.select(by, F.left(joined, F.lit(characters)).alias("report"))
 
 

@@ -157,3 +157,9 @@ def spliced(edges: DataFrame, removed: DataFrame, node: str = "node") -> DataFra
             return state.join(gone, F.col("src") == F.col("gone"), "left_anti")
         bridge = hit.join(state.withColumnRenamed("src", "gone"), "gone").select(F.col("parent").alias("src"), "dst")
         state = checkpointed(state.join(gone, F.col("dst") == F.col("gone"), "left_anti").unionByName(bridge.where("src <> dst")).distinct())
+
+
+def heavy_edges(edges: DataFrame, by: str, weight: str, least: float) -> DataFrame:
+    """Edges of at least ``least``, or all edges of a node that has none; ``edges`` are aggregated, one row a pair."""
+    top = edges.groupBy(by).agg(F.max(weight).alias("__top"))
+    return edges.join(top, by).where((F.col(weight) >= least) | (F.col("__top") < least)).select(*edges.columns)

@@ -90,6 +90,35 @@ def log_loss(rows: DataFrame, label: str, probability: str, clip: float = 1e-15)
     return rows.agg((-F.avg(F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p)))).alias("logloss"))
 
 
+def halved_log_losses(cells: DataFrame, cls: str, gold: str, probability: str, clip: float = 1e-15) -> DataFrame:
+    """One row ``(per_row, per_class)``: half the mean of -log2 of the true class's probability, over all rows, and summed over the means of the classes.
+
+    ``cells`` has a row for each record and class; probabilities of a record
+    add up to 1 and are kept off 0 and 1.
+    """
+    p = F.log2(F.least(F.lit(1 - clip), F.greatest(F.lit(clip), F.col(probability).cast("double"))))
+    by = cells.where(F.col(gold) == 1).groupBy(cls).agg(F.count("*").alias("n"), F.sum(p).alias("l"))
+    return by.agg((-F.sum("l") / F.sum("n") / 2).alias("per_row"), (-F.sum(F.col("l") / F.col("n")) / 2).alias("per_class"))
+
+
+def chi_squared(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row ``(chi2, df)`` of the independence of two categories, from the cells that occur: absent ones add their expectation."""
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
+    na, nb = cells.groupBy(a).agg(F.sum("o").alias("na")), cells.groupBy(b).agg(F.sum("o").alias("nb"))
+    joined = cells.join(na, a).join(nb, b)
+    # the sum of o * o / e over all cells, less n
+    part = F.sum(F.col("o").cast("double") * F.col("o") / (F.col("na").cast("double") * F.col("nb")))
+    return joined.agg((F.sum("o") * part - F.sum("o")).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+
+
+def meta_effect(rows: DataFrame, study: str, group: str, a: str, b: str, value: str) -> DataFrame:
+    """One row ``(effect, std_err, studies)``: differences of the two groups' means in each study, weighted by the inverse of their variances."""
+    of = lambda g, f: f(F.when(F.col(group) == g, F.col(value)))
+    each = rows.groupBy(study).agg((of(a, F.avg) - of(b, F.avg)).alias("d"), (of(a, F.var_samp) / of(a, F.count) + of(b, F.var_samp) / of(b, F.count)).alias("v")).where("v > 0")
+    weight = F.sum(1 / F.col("v"))
+    return each.agg((F.sum(F.col("d") / F.col("v")) / weight).alias("effect"), F.sqrt(1 / weight).alias("std_err"), F.count("*").alias("studies"))
+
+
 def ks_two_samples(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row ``(ks)``: the largest gap of the two empirical distributions."""
     one = lambda df, x, y: df.where(F.col(value).isNotNull()).select(value, F.lit(x).alias("x"), F.lit(y).alias("y"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("star", "quality", "windows", "scalars", "risk", "metrics", "compare", "graph", "profile", "events", "corpus")
+MODULES = ("selection", "star", "quality", "windows", "scalars", "risk", "metrics", "compare", "graph", "profile", "events", "corpus")
 
 
 @cache

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 #: Larger files get an error row instead of being read into a task.
 MAX_BYTES = 800 << 20
 SAMPLE_ROWS = 3
-INNER_FILES = 20
 
 # File endings and the types they stand for.
 TYPES = {
@@ -307,24 +306,28 @@ def _shape_index(data: bytes) -> dict:
     return {"structure": {"records": (words - 50) // 4}, "row_count": (words - 50) // 4}
 
 
-def _inner(files: Iterator[tuple[str, Callable[[], bytes]]]) -> dict:
-    """Profiles of at most twenty members of an archive, read in memory: nothing is unpacked to a path."""
-    found = [profile_bytes(name, read()) | {"path": name} for name, read in files]
-    if len(found) == 1:
+def _inner(files: Iterator[tuple[str, int, Callable[[], bytes]]]) -> dict:
+    """Profiles of the members of an archive, one at a time in memory: nothing is unpacked to a path.
+
+    A member too large for memory has a row with an error, as a file of that size.
+    """
+    large = {"file_type": "unknown", "row_count": None, "structure": None, "read_params": None, "sample": None, "error": f"above {MAX_BYTES} bytes"}
+    found = [(profile_bytes(name, read()) if size <= MAX_BYTES else large) | {"path": name} for name, size, read in files]
+    if len(found) == 1 and not found[0]["error"]:
         return {k: found[0][k] for k in ("structure", "read_params", "row_count", "sample")} | {"inner": found[0]["file_type"]}
     return {"structure": {"files": [{"path": f["path"], "type": f["file_type"], "rows": f["row_count"], "error": f["error"]} for f in found]}, "row_count": sum(f["row_count"] or 0 for f in found)}
 
 
 def _zip(data: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        members = [i for i in archive.infolist() if not i.is_dir() and i.file_size <= MAX_BYTES][:INNER_FILES]
-        return _inner((i.filename, lambda i=i: archive.read(i)) for i in members)
+        members = [i for i in archive.infolist() if not i.is_dir()]
+        return _inner((i.filename, i.file_size, lambda i=i: archive.read(i)) for i in members)
 
 
 def _tar(data: bytes) -> dict:
     with tarfile.open(fileobj=io.BytesIO(data)) as archive:
-        members = [m for m in archive.getmembers() if m.isfile() and m.size <= MAX_BYTES][:INNER_FILES]
-        return _inner((m.name, lambda m=m: archive.extractfile(m).read()) for m in members)
+        members = [m for m in archive.getmembers() if m.isfile()]
+        return _inner((m.name, m.size, lambda m=m: archive.extractfile(m).read()) for m in members)
 
 
 PARSERS: dict[str, Callable[[bytes], dict]] = {

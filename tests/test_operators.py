@@ -260,3 +260,19 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert one["mean"] == pytest.approx(many["mean"]) and one["low"] == pytest.approx(many["low"])
     assert one["low"] < 24.5 < one["high"] and abs(one["mean"] - 24.5) < 1
     assert scoring.bootstrap_mean(df.limit(0), "v", "id").first()["mean"] is None
+
+
+def test_unordered_scores_by_tolerance_and_place(spark):
+    gold = spark.createDataFrame([(10.0, "x"), (20.0, "y")], "v double, t string")
+    out = spark.createDataFrame([(20.3, "Y", 1), (9.8, "x ", 2)], "p double, q string, r int")
+    score = lambda **o: {r["column"]: r["matched"] for r in C.score_unordered(out, gold, **o).collect()}
+    assert score() == {"v": False, "t": True}
+    assert score(tolerances={"v": 1.0}) == {"v": True, "t": True}
+    assert C.resolve_columns(gold, ["1", 0, "t"]) == ["t", "v", "t"]
+    assert score(columns=["v"], tolerances=C.resolve_tolerances(gold, {"0": 1.0})) == {"v": True}
+
+
+def test_halved_log_losses(spark):
+    cells = spark.createDataFrame([("a", 1, 0.5), ("b", 0, 0.5), ("a", 0, 0.75), ("b", 1, 0.25), ("a", 1, 0.125), ("b", 0, 0.875)], "cls string, gold int, p double")
+    r = scoring.halved_log_losses(cells, "cls", "gold", "p").first()
+    assert r["per_row"] == pytest.approx((1 + 2 + 3) / 3 / 2) and r["per_class"] == pytest.approx(((1 + 3) / 2 + 2) / 2)

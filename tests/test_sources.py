@@ -95,3 +95,18 @@ def test_sinks(spark, tmp_path):
     readers.write_by_domain(df.withColumnRenamed("v", "domain"), str(tmp_path / "d"))
     assert (tmp_path / "d" / "domain=a").is_dir()
     assert readers.run_sql(spark, "SELECT sum(k) AS s FROM t", {"t": df}, str(tmp_path / "csv")).first()["s"] == 3
+
+
+def test_every_member_of_an_archive_has_a_row(monkeypatch):
+    import io
+
+    from millrace.sources import files
+
+    monkeypatch.setattr(files, "MAX_BYTES", 100)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in range(25):
+            z.writestr(f"m{k:02d}.csv", "a,b\n1,2\n")
+        z.writestr("large.csv", "a,b\n" + "1,2\n" * 100)
+    found = files._zip(out.getvalue())["structure"]["files"]
+    assert len(found) == 26 and [f["path"] for f in found if f["error"]] == ["large.csv"]
