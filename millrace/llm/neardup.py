@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from millrace.functions.words import words_column
 from millrace.session import broadcast_if_small, materialised
 
-#: Words whose exact frequency every task knows, at most: 16 MB. The rarer others count as equally rare.
-KNOWN_WORDS = 1 << 20
+#: Words whose exact frequency the driver and every task know, at most: 1 MB. The rarer others count as equally rare.
+KNOWN_WORDS = 1 << 16
 
 #: Rows of one shard in one task; beyond it a shard is split into blocks, and
 #: each pair of blocks is a task of its own.
