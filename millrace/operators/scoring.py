@@ -190,10 +190,11 @@ def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     """One row ``(h)``: the rank test of several groups, corrected for ties."""
     kept = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
     ranks = mid_ranks(kept, value)
-    ties = ranks.agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
+    t = F.col("n").cast("double")  # cubes of 2,097,152 rows and more are no bigints
+    ties = ranks.agg(F.sum("n").alias("all"), F.sum(t * t * t - t).alias("ties"))
     cells = kept.groupBy(group, value).agg(F.count("*").alias("c")).join(ranks.select(value, "rank"), value)
     sums = cells.groupBy(group).agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("c"))
-    n = F.max("all")
+    n = F.max("all").cast("double")
     h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("c")) - 3 * (n + 1)
     return sums.crossJoin(F.broadcast(ties)).agg((h / (1 - F.max("ties") / (n * n * n - n))).alias("h"))  # one row
 

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,14 @@ def test_halved_log_losses(spark):
     cells = spark.createDataFrame([("a", 1, 0.5), ("b", 0, 0.5), ("a", 0, 0.75), ("b", 1, 0.25), ("a", 1, 0.125), ("b", 0, 0.875)], "cls string, gold int, p double")
     r = scoring.halved_log_losses(cells, "cls", "gold", "p").first()
     assert r["per_row"] == pytest.approx((1 + 2 + 3) / 3 / 2) and r["per_class"] == pytest.approx(((1 + 3) / 2 + 2) / 2)
+
+
+def test_kruskal_of_more_rows_than_a_bigint_has_cubes(spark):
+    # 2,500,000 rows, 2,300,000 of them tied; 2,097,152 cubed is over 2 ** 63
+    df = spark.range(2_500_000).selectExpr("id", "greatest(id div 100000 - 22, 0) as v").selectExpr("if(id % 10 < 3 + 2 * v, 'a', 'b') as g", "cast(v as double) as v")
+    cells = {"a": (690_000, 50_000, 70_000), "b": (1_610_000, 50_000, 30_000)}
+    n, tied = 2_500_000, (2_300_000, 100_000, 100_000)
+    twice_rank = [2 * sum(tied[:k]) + c + 1 for k, c in enumerate(tied)]
+    squares = sum(Fraction(sum(c * r for c, r in zip(own, twice_rank)), 2) ** 2 / sum(own) for own in cells.values())
+    h = (Fraction(12, n * (n + 1)) * squares - 3 * (n + 1)) / (1 - Fraction(sum(c**3 - c for c in tied), n**3 - n))
+    assert scoring.kruskal(df, "g", "v").first()["h"] == pytest.approx(float(h), abs=1e-5)
